@@ -125,7 +125,8 @@ def gaussian(x: Column, sigma: float) -> Column:
 
 
 def clip(c: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), c))
+    """Null stays null; greatest and least alone would skip it and return a bound."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), c)))
 
 
 def logistic_score(llr: Column, k: float) -> Column:
