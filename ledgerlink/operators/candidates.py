@@ -19,6 +19,7 @@ def txn_view(txns: DataFrame) -> DataFrame:
         F.nullif(F.upper(F.trim("reference_number")), F.lit("")).alias("t_ref"),
         fx.paise(F.col("amount")).alias("amount_p"),
         narr.alias("narr"),
+        fx.invoice_tokens(narr).alias("ids"),
     )
 
 
@@ -39,6 +40,7 @@ def invoice_view(invoices: DataFrame, params: Params = DEFAULT) -> DataFrame:
         name.alias("cp"),
         F.upper(F.trim("invoice_id")).alias("inv_u"),
         fx.token_heads(name, fx.STOP_RULES).alias("heads"),
+        fx.name_marks(name).alias("marks"),
     )
 
 

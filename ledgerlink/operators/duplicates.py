@@ -34,12 +34,12 @@ def find_duplicates(t: DataFrame, params: Params = DEFAULT, similar=None, tile_r
     met = l.join(r, keys).where(
         (F.col("o_date") <= F.col("txn_date")) & (F.datediff("txn_date", "o_date") <= params.duplicate_days)
     )
-    same = F.col("narr") == F.col("o_narr")
+    # Equal texts are passed as nulls, which count as equal and cost nothing.
+    differ = F.col("narr") != F.col("o_narr")
     test: Column = similar(F.col("narr"), F.col("o_narr")) if similar is not None else (
-        duplicate_similarity("narr", "o_narr") >= params.duplicate_similarity
+        duplicate_similarity(F.when(differ, F.col("narr")), F.when(differ, F.col("o_narr"))) >= params.duplicate_similarity
     )
-    close = met.where(same).unionByName(met.where(~same).where(test))
-    original = close.groupBy(*KEY, "txn_date", "narr").agg(
+    original = met.where(test).groupBy(*KEY, "txn_date", "narr").agg(
         F.min(F.struct(F.col("o_date").alias("day"), F.col("o_id").alias("id"))).alias("orig")
     )
     return (

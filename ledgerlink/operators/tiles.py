@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ledgerlink.session import spread
+
 TILE_ROWS = 20_000
 
 
@@ -42,6 +44,9 @@ def tiled(
             .drop("_gl", "_gr")
         )
 
+    cell = [*keys, "_tl", "_tr"]
     l = place(left, left_id, "_gl", "_gr", "_tl", "_tr")
     r = place(right, right_id, "_gr", "_gl", "_tr", "_tl")
-    return l, r, [*keys, "_tl", "_tr"]
+    # A tile costs far more work than bytes.  A fixed number of partitions by tile keeps the work spread where
+    # a size-based choice would coalesce it, and the other side is shuffled to match or broadcast if small.
+    return spread(l, cell), r, cell

@@ -37,6 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash partitions in the session's full number, for steps whose work is large for their bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 class Workspace:
     """Writes intermediate tables as Parquet under the shared folder and reads them back.
 
