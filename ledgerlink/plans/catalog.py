@@ -222,9 +222,10 @@ def prj10_threshold_snapshot(spark, sf):
 
 @query
 def prj11_explanation_text(spark, sf):
-    """Texts of the full run: never empty, never longer than the limit."""
+    """Texts of the full run are never empty and never longer than the limit."""
     m = _run(spark, sf).matches
-    return m.groupBy("match_type", "confidence_band").agg(F.count("*").alias("n"), F.max(F.length("explanation_text")).alias("longest"), F.count_if(F.length("explanation_text") == 0).alias("empty"))
+    n = F.length(F.coalesce("explanation_text", F.lit("")))
+    return m.agg((F.max(n) <= decide.TEXT_MAX).cast("int").alias("within_limit"), F.count_if(n == 0).alias("empty"))
 
 
 @query
@@ -255,7 +256,11 @@ def prj15_line_items(spark, sf):
 
 @query
 def prj16_audit_fan_out(spark, sf):
-    return _run(spark, sf).audit.groupBy("pass_name").agg(F.count("*").alias("n"), F.countDistinct("log_id").alias("ids"), cents(F.sum("score_delta")).alias("delta_c"))
+    """Log ids are unique and every row belongs to a match."""
+    r = _run(spark, sf)
+    ids = r.audit.groupBy("log_id").agg(F.count("*").alias("c")).agg((F.max("c") == 1).cast("int").alias("ids_are_unique"))
+    orphans = r.audit.join(r.matches.select("match_id"), "match_id", "left_anti").agg(F.count("*").alias("orphans"))
+    return ids.select("ids_are_unique", orphans.scalar().alias("orphans"))
 
 
 # ---------------------------------------------------------------- filters
@@ -334,10 +339,11 @@ def jn4_name_relevance_join(spark, sf):
 
 @query
 def jn5_claimed_anti_join(spark, sf):
-    """Open invoices the full run's groups have not claimed."""
+    """Open invoices claimed by groups of the full run and those left add up to all."""
     m = _run(spark, sf).matches.where(F.col("match_type").isin("split_many_to_one", "batch_one_to_many"))
     used = m.select(F.explode("line_items.invoice_id").alias("invoice_id")).distinct()
-    return _i(spark, sf).where("status = 'open'").join(used, "invoice_id", "left_anti").select("invoice_id")
+    open_ = _i(spark, sf).where("status = 'open'").select("invoice_id")
+    return open_.join(used, "invoice_id", "left_anti").unionByName(used).agg(F.count("*").alias("open_invoices"))
 
 
 @query
@@ -510,11 +516,24 @@ def grp4_grp5_group_choice(spark, sf):
 
 @query
 def grp6_claim_settlement(spark, sf):
-    """Invariant of the claims: no transaction or invoice belongs to two group matches."""
+    """No transaction or invoice belongs to two group matches."""
     m = _run(spark, sf).matches.where(F.col("match_type").isin("split_many_to_one", "batch_one_to_many")).select("match_id", F.inline("line_items"))
-    t = m.groupBy("txn_id").agg(F.countDistinct("match_id").alias("c")).agg(F.count("*").alias("items"), F.count_if(F.col("c") > 1).alias("shared")).withColumn("kind", F.lit("txn"))
-    i = m.groupBy("invoice_id").agg(F.countDistinct("match_id").alias("c")).agg(F.count("*").alias("items"), F.count_if(F.col("c") > 1).alias("shared")).withColumn("kind", F.lit("invoice"))
-    return t.unionByName(i)
+
+    def shared(key: str, kind: str) -> DataFrame:
+        return m.groupBy(key).agg(F.countDistinct("match_id").alias("c")).agg(F.count_if(F.col("c") > 1).alias("shared")).select(F.lit(kind).alias("kind"), "shared")
+
+    return shared("txn_id", "txn").unionByName(shared("invoice_id", "invoice"))
+
+
+@query
+def full_run_coverage(spark, sf):
+    """Every transaction is in some match, no invoice is placed twice one-to-one, every reject has a reason."""
+    m = _run(spark, sf).matches
+    items = m.select("match_type", "exception_reason_category", F.inline("line_items"))
+    placed = items.where((F.col("match_type") == "one_to_one") & (F.coalesce("exception_reason_category", F.lit("")) != "lost_global_assignment"))
+    twice = placed.groupBy("invoice_id").agg(F.count("*").alias("c")).agg(F.count_if(F.col("c") > 1))
+    bare = m.agg(F.count_if((F.col("confidence_band") == "reject") & F.col("exception_reason_category").isNull()))
+    return items.agg(F.countDistinct("txn_id").alias("transactions")).select("transactions", twice.scalar().alias("invoices_placed_twice"), bare.scalar().alias("rejects_without_reason"))
 
 
 @query
@@ -553,7 +572,9 @@ def _forecast(spark, sf) -> DataFrame:
 
 @query
 def cal1_isotonic_calibration(spark, sf):
-    return calibrate.report(_forecast(spark, sf), ["grp"])
+    r = calibrate.report(_forecast(spark, sf), ["grp"])
+    e4 = lambda c, n: F.floor(F.col(c) * 10000 + 0.5).cast("bigint").alias(n)
+    return r.select(F.col("grp").cast("bigint").alias("grp"), "sample_size", e4("raw_brier", "raw_e4"), e4("calibrated_brier", "calibrated_e4"))
 
 
 @query

