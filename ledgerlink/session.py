@@ -9,8 +9,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "ledgerlink", master: str | None = None, shuffle: int | None = None) -> SparkSession:
-    """A session with the settings the engine is written for; cluster defaults win where set outside."""
+def build_session(app: str = "ledgerlink", master: str | None = None, shuffle: int | None = None, shared: str | None = None) -> SparkSession:
+    """A session with the settings the engine is written for; cluster defaults win where set outside.
+
+    ``shared`` names the folder all machines see; without it the cluster's ``spark.checkpoint.dir`` holds.
+    """
     b = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
@@ -24,14 +27,23 @@ def build_session(app: str = "ledgerlink", master: str | None = None, shuffle: i
         b = b.master(master)
     if shuffle:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle))
+    if shared:
+        b = b.config("spark.checkpoint.dir", shared)
     return b.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder.  Only where the session names none (tests) is one made."""
+    """The cluster's shared checkpoint folder.  Only a single-machine session that names none (tests) gets one made.
+
+    On a cluster a folder of one machine would be written by each executor for itself and read back with gaps,
+    so there the setting is required.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="spark-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
