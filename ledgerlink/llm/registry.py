@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlink.llm.base import table
 from ledgerlink.llm.exact_dedup import exact_groups
+from ledgerlink.llm.simhash_dedup import near_groups
+
+
+def op5_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +18,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_simhash_bk": op5_simhash_bk,
     "op6_exact_dedup": op6_exact_dedup,
 }
 
