@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -52,3 +54,11 @@ def chunks(texts: Iterable[bytes], limit: int) -> Iterator[tuple[int, list[bytes
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """True where crc32 of the id as text falls in the held-out fold; a null id is never used for learning."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(True))
+
+
+def worker_cache() -> dict:
+    """A dictionary that lives as long as the Python worker, which Spark reuses for later tasks.
+
+    Functions travel by value, so their own module's globals start anew with each task.
+    """
+    return sys.modules.setdefault("_corpus_worker_cache", types.ModuleType("_corpus_worker_cache")).__dict__

@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlink.llm.base import table
+from ledgerlink.llm.digests import encoding_digests, piece_digests
 from ledgerlink.llm.exact_dedup import exact_groups
+from ledgerlink.llm.packing import pack
 from ledgerlink.llm.simhash_dedup import near_groups
+from ledgerlink.llm.word_bpe import compile_lexicon, encode
+
+
+def op3_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(pack(table(spark, sf_dir, "documents")))
 
 
 def op5_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +24,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return encoding_digests(encode(docs, lexicon=compile_lexicon(docs)))
+
+
 QUERIES = {
+    "op3_binary_packing": op3_binary_packing,
     "op5_simhash_bk": op5_simhash_bk,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_bpe_lexicon": op7_bpe_lexicon,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
