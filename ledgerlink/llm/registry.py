@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlink.llm import language_id, toxicity
 from ledgerlink.llm.base import table
 from ledgerlink.llm.digests import encoding_digests, piece_digests
 from ledgerlink.llm.exact_dedup import exact_groups
@@ -29,11 +30,23 @@ def op7_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(encode(docs, lexicon=compile_lexicon(docs)))
 
 
+def op8_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
 QUERIES = {
     "op3_binary_packing": op3_binary_packing,
     "op5_simhash_bk": op5_simhash_bk,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_bpe_lexicon": op7_bpe_lexicon,
+    "op8_toxicity_pu": op8_toxicity_pu,
+    "op10_language_ecoc": op10_language_ecoc,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
