@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlink.llm import language_id, toxicity
+from ledgerlink.llm import language_id, secret_scan, toxicity
 from ledgerlink.llm.base import table
 from ledgerlink.llm.digests import encoding_digests, piece_digests
 from ledgerlink.llm.exact_dedup import exact_groups
@@ -35,6 +35,10 @@ def op8_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(secret_scan.find_spans(table(spark, sf_dir, "documents")))
+
+
 def op10_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.fit(docs))
@@ -46,6 +50,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_bpe_lexicon": op7_bpe_lexicon,
     "op8_toxicity_pu": op8_toxicity_pu,
+    "op9_secret_scan": op9_secret_scan,
     "op10_language_ecoc": op10_language_ecoc,
 }
 
