@@ -37,7 +37,7 @@ from ledgerlink.session import Workspace, shared_dir
 LEXICON_WORDS = 65_536
 LEXICON_WORD_BYTES = 48
 LONG_WORD = 48
-KNOWN_PIECES = 500_000
+KNOWN_PIECES = 200_000
 RUN_BYTES = 2 << 20
 END = "</w>"
 
@@ -257,7 +257,7 @@ def _long(encoder: Encoder, text: bytes, step: int) -> tuple[np.ndarray, np.ndar
 # ---------------------------------------------------------------- lexicon of a corpus
 
 
-def word_counts(docs: DataFrame, text: str = "text", most: int = 300_000) -> DataFrame:
+def word_counts(docs: DataFrame, text: str = "text", most: int = 100_000) -> DataFrame:
     """word (lower-case letters only), n over all texts.  Each task counts its own texts first."""
     small_batches(docs.sparkSession)
 
