@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlink.llm import language_id, secret_scan, toxicity
-from ledgerlink.llm.base import table
+from ledgerlink.llm import language_id, secret_scan, toxicity, url_filter
+from ledgerlink.llm.base import LOWER, UPPER, table
 from ledgerlink.llm.digests import encoding_digests, piece_digests
 from ledgerlink.llm.exact_dedup import exact_groups
 from ledgerlink.llm.packing import pack
 from ledgerlink.llm.simhash_dedup import near_groups
+from ledgerlink.llm.url_filter import judge
 from ledgerlink.llm.word_bpe import compile_lexicon, encode
 
 
+def op1_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op3_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(pack(table(spark, sf_dir, "documents")))
 
@@ -45,6 +50,7 @@ def op10_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_markov": op1_url_markov,
     "op3_binary_packing": op3_binary_packing,
     "op5_simhash_bk": op5_simhash_bk,
     "op6_exact_dedup": op6_exact_dedup,
@@ -56,7 +62,48 @@ QUERIES = {
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _op1_sql() -> str:
+    """The URL filter in SQL: rules, gram counts, mixed chances, calibration and verdicts."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    fits = []
+    for rule, verdict in sorted(url_filter.RULES, key=lambda r: -len(r[0])):
+        name, slash, start = rule.partition("/")
+        fits.append((rule, verdict, f"(host = {q(name)} OR ends_with(host, {q('.' + name)})) AND starts_with(path, {q(slash + start)})"))
+    rule = "CASE " + " ".join(f"WHEN {c} THEN {q(r)}" for r, _, c in fits) + " END"
+    verdict = "CASE " + " ".join(f"WHEN rule = {q(r)} THEN {q(v)}" for r, v, _ in fits) + " END"
+    order, smooth = url_filter.ORDER, url_filter.SMOOTH
+    joins, chance = [], {k: f"1.0::DOUBLE / {url_filter.SYMBOLS}" for k in "ar"}
+    for n in range(order + 1):
+        joins.append(f"JOIN (SELECT substring(gram, {order + 1 - n}, {n + 1}) AS x, sum(a) AS a, sum(r) AS r FROM counts GROUP BY 1) t{n} ON substring(c.gram, {order + 1 - n}, {n + 1}) = t{n}.x")
+        joins.append(f"JOIN (SELECT substring(gram, {order + 1 - n}, {n}) AS x, sum(a) AS a, sum(r) AS r FROM counts GROUP BY 1) h{n} ON substring(c.gram, {order + 1 - n}, {n}) = h{n}.x")
+        chance = {k: f"((t{n}.{k}::DOUBLE + {smooth} * ({chance[k]})) / (h{n}.{k}::DOUBLE + {smooth}))" for k in "ar"}
+    return f"""
+        WITH raw AS (SELECT page_id, coalesce(url, '') AS u FROM pages),
+        cut1 AS (SELECT *, CASE WHEN strpos(u, '://') > 0 THEN substring(u, strpos(u, '://') + 3) ELSE '' END AS rest FROM raw),
+        hosts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
+                         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+                         '^^^' || regexp_replace(regexp_replace(translate(u, '{UPPER}', '{LOWER}'), '[0-9]', '0', 'g'), '[^a-z0/.\\-]', '~', 'g') || '^' AS folded FROM cut1),
+        ruled AS (SELECT *, {rule} AS rule FROM hosts),
+        rows AS (SELECT *, {verdict} AS said, sha256(folded) AS key FROM ruled),
+        folds AS (SELECT DISTINCT key, folded FROM rows),
+        held AS (SELECT key, folded, key < '{url_filter.CALIBRATE}' AS held FROM folds),
+        grams AS (SELECT key, substring(folded, i::BIGINT, 4) AS gram FROM (SELECT key, folded, unnest(range(1, length(folded) - 2)) AS i FROM folds)),
+        counts AS (SELECT gram, count(*) FILTER (said = 'allow' AND NOT held) AS a, count(*) FILTER (said = 'block' AND NOT held) AS r
+                   FROM rows JOIN held USING (key) JOIN grams USING (key) GROUP BY gram),
+        model AS (SELECT c.gram, round(ln({chance["a"]} / {chance["r"]}) * 1000000)::BIGINT AS ratio FROM counts c {" ".join(joins)}),
+        scores AS (SELECT key, floor(sum(ratio)::DOUBLE / count(*))::BIGINT AS score FROM grams JOIN model USING (gram) GROUP BY key),
+        bins AS (SELECT floor(score::DOUBLE / 10000)::BIGINT AS bin, count(*) FILTER (said = 'allow') AS a, count(*) FILTER (said = 'block') AS r
+                 FROM rows JOIN held USING (key) JOIN scores USING (key) WHERE held AND rule IS NOT NULL GROUP BY 1),
+        edges AS (SELECT bin AS edge FROM bins UNION SELECT max(bin) + 1 FROM bins HAVING count(*) > 0),
+        errors AS (SELECT edge, sum(CASE WHEN bin < edge THEN a ELSE 0 END) * sum(r) + sum(CASE WHEN bin >= edge THEN r ELSE 0 END) * sum(a) AS error, sum(a) * sum(r) AS classes
+                   FROM edges CROSS JOIN bins GROUP BY edge),
+        cut AS (SELECT coalesce((SELECT edge FROM errors WHERE classes > 0 ORDER BY error, abs(edge), edge LIMIT 1), 0) * 10000 AS cut)
+        SELECT page_id, host, path, rule, coalesce(said, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict, score, cut::BIGINT AS cut
+        FROM rows JOIN scores USING (key) CROSS JOIN cut"""
+
+
 ORACLE = {
+    "op1_url_markov": _op1_sql(),
     "op6_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_LOWER} AS body FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
