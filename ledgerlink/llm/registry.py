@@ -10,6 +10,7 @@ from ledgerlink.llm.digests import encoding_digests, piece_digests
 from ledgerlink.llm.exact_dedup import exact_groups
 from ledgerlink.llm.packing import pack
 from ledgerlink.llm.simhash_dedup import near_groups
+from ledgerlink.llm.topk_search import search
 from ledgerlink.llm.url_filter import judge
 from ledgerlink.llm.word_bpe import compile_lexicon, encode
 
@@ -22,6 +23,10 @@ def op3_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(pack(table(spark, sf_dir, "documents")))
 
 
+def op4_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,7 @@ def op10_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_markov": op1_url_markov,
     "op3_binary_packing": op3_binary_packing,
+    "op4_pivot_topk": op4_pivot_topk,
     "op5_simhash_bk": op5_simhash_bk,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_bpe_lexicon": op7_bpe_lexicon,
@@ -104,6 +110,14 @@ def _op1_sql() -> str:
 
 ORACLE = {
     "op1_url_markov": _op1_sql(),
+    "op4_pivot_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                     AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
     "op6_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_LOWER} AS body FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
