@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlink.llm import language_id, secret_scan, toxicity, url_filter
 from ledgerlink.llm.base import LOWER, UPPER, table
@@ -10,6 +11,7 @@ from ledgerlink.llm.digests import encoding_digests, piece_digests
 from ledgerlink.llm.exact_dedup import exact_groups
 from ledgerlink.llm.packing import pack
 from ledgerlink.llm.simhash_dedup import near_groups
+from ledgerlink.llm.suffix_dedup import dedup
 from ledgerlink.llm.topk_search import search
 from ledgerlink.llm.url_filter import judge
 from ledgerlink.llm.word_bpe import compile_lexicon, encode
@@ -19,6 +21,13 @@ def op1_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def op2_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    length = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"])
+    return dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", length.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op3_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(pack(table(spark, sf_dir, "documents")))
 
@@ -56,6 +65,7 @@ def op10_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_markov": op1_url_markov,
+    "op2_suffix_radix": op2_suffix_radix,
     "op3_binary_packing": op3_binary_packing,
     "op4_pivot_topk": op4_pivot_topk,
     "op5_simhash_bk": op5_simhash_bk,
