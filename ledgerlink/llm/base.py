@@ -62,3 +62,20 @@ def worker_cache() -> dict:
     Functions travel by value, so their own module's globals start anew with each task.
     """
     return sys.modules.setdefault("_corpus_worker_cache", types.ModuleType("_corpus_worker_cache")).__dict__
+
+
+def keep_listed(docs: DataFrame, listed: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` whose id and text are in ``listed`` (_id, _sha of ``text_sha``, _n rows), one row each.
+
+    Only where a row repeats, a further pass over the repeated ones leaves one of them.
+    """
+    tagged = docs.withColumn("_key", text_sha(F.col(text)))
+    rows = tagged.join(listed, tagged[doc_id].eqNullSafe(listed["_id"]) & (tagged["_key"] == listed["_sha"]))
+    once = rows.filter("_n = 1").select(docs.columns)
+    if listed.filter("_n > 1").isEmpty():
+        return once
+    return once.unionByName(rows.filter("_n > 1").dropDuplicates(["_id", "_sha"]).select(docs.columns))
+
+
+def text_sha(text: Column) -> Column:
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256)

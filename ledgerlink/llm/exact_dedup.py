@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlink.llm.base import ascii_lower
+from ledgerlink.llm.base import ascii_lower, keep_listed
 from ledgerlink.session import Workspace
 
 
@@ -70,18 +70,8 @@ def exact_groups(
 
 
 def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, all columns, one row for each text.
-
-    A kept row is found again by its id and text digest.  Only rows whose pair of both repeats (repeated rows)
-    need a further pass that leaves one of them.
-    """
+    """The documents that stay, all columns, one row for each text as ``exact_groups`` compares it."""
     keep = exact_groups(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    ws = Workspace(docs.sparkSession)
-    keep = ws.save(keep.groupBy("_id", "_sha").agg(F.count(F.lit(1)).alias("_n")), "keep")
-    tagged = docs.withColumn("_key", sha256(ascii_lower(F.col(text))))
-    match = tagged[doc_id].eqNullSafe(keep["_id"]) & (tagged["_key"] == keep["_sha"])
-    rows = tagged.join(keep, match)
-    once = rows.filter("_n = 1").select(docs.columns)
-    if keep.filter("_n > 1").isEmpty():
-        return once
-    return once.unionByName(rows.filter("_n > 1").dropDuplicates(["_sha"]).select(docs.columns))
+    keep = Workspace(docs.sparkSession).save(keep.groupBy("_id", "_sha").agg(F.count(F.lit(1)).alias("_n")), "keep")
+    lowered = docs.withColumn("_body", ascii_lower(F.col(text)))
+    return keep_listed(lowered, keep, doc_id, "_body").select(docs.columns)

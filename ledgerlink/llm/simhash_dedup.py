@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlink.llm.base import small_batches, utf8
+from ledgerlink.llm.base import keep_listed, small_batches, text_sha, utf8
 from ledgerlink.session import Workspace
 
 SEED = 42
@@ -240,3 +240,15 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     ids = named.groupBy("head").agg(F.min("least").alias("component_id"))
     names = ws.save(named.join(ids, "head").select("fp", "component_id"), "names")
     return fps.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """One document of each component, all columns: the one with the smallest id.
+
+    Ids are taken together with the text's digest, so that rows which share an id are told apart; rows without an id
+    come last in a component.
+    """
+    key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), text_sha(F.col(text)).alias("sha"))
+    groups = near_groups(docs.select(key.alias("key"), F.col(text).alias("text")), "key", "text", **how)
+    keep = groups.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id.id").alias("_id"), F.col("doc_id.sha").alias("_sha"))
+    return keep_listed(docs, Workspace(docs.sparkSession).save(keep.agg(F.count(F.lit(1)).alias("_n")), "keep"), doc_id, text)
