@@ -213,16 +213,17 @@ def component_heads(ws: Workspace, edges: DataFrame, most_rounds: int = 100) ->
     """u, v: each linked node with the smallest node of its component, the head itself left out.
 
     Large-star ties every larger neighbour of a node to the node's smallest one, small-star ties a node and its
-    smaller neighbours to the smallest.  Only minima are gathered, so a node of any degree is spread.
+    smaller neighbours to the smallest.  Only minima are gathered.  They are written before they are joined, so that
+    both sides of each join come straight from a shuffle and Spark can split the links of a node of high degree.
     """
     mark = None
     for _ in range(most_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = ws.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = ws.save(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        down = ws.save(large.groupBy("u").agg(F.min("v").alias("m")), "down")
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        edges = ws.save(small.union(down).distinct(), "stars")
+        edges = ws.save(small.union(down.select("u", F.col("m").alias("v"))).distinct(), "stars")
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges
