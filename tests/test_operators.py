@@ -6,7 +6,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-import sequential_spec as spec
+import plain_text as plain
+from run_checker import Checker, Pair, best_assignment_weight, best_subset, consistent
 from builders import inv, invs_df, txn, txns_df
 from ledgerlink.operators import assignment as asn, candidates as cand, decide, duplicates as dup, groups, linkage, scoring, tax
 from ledgerlink.params import DEFAULT
@@ -45,16 +46,11 @@ def test_duplicates_equal_brute_force(spark, tile_rows):
     words = ["UPI-SHARMA-PAY", "UPI SHARMA PAY", "NEFT VERMA 01", "NEFT VERMA 02", "PART VERMA", "RENT"]
     t = [txn(f"T{k:03d}", date(2026, 1, 1) + timedelta(days=r.randint(0, 12)), r.choice([100, 200]), r.choice(words), r.choice(["credit", "credit", "debit"])) for k in range(90)]
     want = {}
-    part = lambda s: any(w in s for w in spec.PART_WORDS)
     for a in t:
-        orig = [
-            (b["txn_date"], b["txn_id"]) for b in t
-            if (b["txn_date"], b["txn_id"]) < (a["txn_date"], a["txn_id"]) and a["direction"] == b["direction"] and a["amount"] == b["amount"]
-            and (a["txn_date"] - b["txn_date"]).days <= 3 and not part(a["narration"]) and not part(b["narration"])
-            and max(spec.ratio(a["narration"], b["narration"]), spec.set_ratio(a["narration"], b["narration"])) >= 85
-        ]
-        if orig:
-            want[a["txn_id"]] = min(orig)[1]
+        earlier = sorted((b for b in t if (b["txn_date"], b["txn_id"]) < (a["txn_date"], a["txn_id"])), key=lambda b: (b["txn_date"], b["txn_id"]))
+        first = next((b["txn_id"] for b in earlier if Checker([b, a], [], {}).copy_of_earlier(a)), None)
+        if first:
+            want[a["txn_id"]] = first
     got = dup.find_duplicates(cand.txn_view(txns_df(spark, t)), tile_rows=tile_rows)
     assert {r.txn_id: r.original_id for r in got.collect()} == want and want
 
@@ -69,7 +65,7 @@ def test_exclusion_order(spark):
     assert got == {"A": "debit_transaction", "B": "noise_below_floor", "C": "noise_below_floor", "D": None, "E": "duplicate_detected", "F": None}
 
 
-def test_rule_points_equal_the_specification(spark):
+def test_rule_points_equal_the_plain_rules(spark):
     r = random.Random(8)
     names = ["Sharma Trading", "Kapoor Logistics", "Acme Pvt Ltd"]
     i = [inv(f"INV-{k}", date(2026, 1, 1) + timedelta(days=r.randint(0, 60)), r.choice(names), r.choice([1000, 1002, 1500]), r.choice([1000, 1100, 1500]), r.choice([0, 100]), ref=r.choice([None, "UTR123456", "UTR123"])) for k in range(15)]
@@ -78,10 +74,9 @@ def test_rule_points_equal_the_specification(spark):
     got = scoring.fuzzy_points(scoring.rule_points(cand.candidate_pairs(cand.txn_view(txns_df(spark, t)), cand.invoice_view(invs_df(spark, i)))))
     n = 0
     for x in got.collect():
-        s, amt = spec.pass1(by_t[x.txn_id], by_i[x.invoice_id])
-        a, b, d = spec.pass2(by_t[x.txn_id], by_i[x.invoice_id])
-        assert (x.p1, x.p1_amount) == (s, amt)
-        assert (x.f_name, x.f_amount, x.f_date) == (a, b, d)
+        pair = Pair(by_t[x.txn_id], by_i[x.invoice_id])
+        assert (x.p1, x.p1_amount) == (pair.by_rules, pair.money_agrees)
+        assert (x.f_name, x.f_amount, x.f_date) == pair.fuzzy_points
         n += 1
     assert n > 50
 
@@ -92,7 +87,7 @@ def test_relevant_names_equal_brute_force(spark):
     texts = ["UPI/SHARMA", "NEFT-SHARMA TRADING SETTLED", "LTD", "PVT LTD MEHTA", "SINGH", "OLD BLT CO", "CO OLD", "THE GROUPS", "SHRMA TRADNG", "AB CD", "XX", "VERMA SONS AND", "pay INV-3"]
     i = [inv(f"INV-{k}", "2026-01-01", n, 100, merchant=m) for k, (n, m) in enumerate(itertools.product(names, "MN"))]
     t = [txn(f"T{k}", "2026-01-01", 100, x, merchant=r.choice("MN")) for k, x in enumerate(texts * 3)]
-    want = {(m, n.upper(), x.upper()) for n in names for m, x in {(y["merchant_id"], y["narration"]) for y in t} if "INV-" not in x and spec.name_ok(x, n)}
+    want = {(m, n.upper(), x.upper()) for n in names for m, x in {(y["merchant_id"], y["narration"]) for y in t} if "INV-" not in x and consistent(x, n)}
     for size in (2, 4000):
         got = groups.relevant_names(cand.txn_view(txns_df(spark, t)), cand.invoice_view(invs_df(spark, i)), tile_rows=size).collect()
         assert {(g.merchant_id, g.cp, g.narr) for g in got} == want and len(got) == len(want)
@@ -104,9 +99,9 @@ def test_best_subset_equals_brute_force():
         n = r.randint(1, 9)
         am, gp, ok = [r.choice([100, 200, 300, 500]) * 100 for _ in range(n)], [r.randint(0, 5) for _ in range(n)], [r.random() < 0.7 for _ in range(n)]
         target = r.choice([300, 500, 800, 1000]) * 100
-        want = spec.subsets(list(range(n)), am, target, gp, ok)
+        want = best_subset([a / 100 for a in am], target / 100, gp, ok)
         sols, valid, picks = groups.best_subset(am, gp, ok, target, 200)
-        assert (want is None and picks is None) or (want == (picks, valid, sols))
+        assert (want is None and picks is None) or (list(want.members) == picks and want.preferred == valid <= sols)
 
 
 def test_pool_of_sixteen_is_searched():
@@ -128,7 +123,7 @@ def edges_df(spark, rows):
 
 def weight(edges):
     e = {(t, i): s for t, i, s, _ in edges}
-    return spec.best_assignment_weight(e, {t for t, _ in e}, {i for _, i in e})
+    return best_assignment_weight(e, {t for t, _ in e}, {i for _, i in e})
 
 
 @pytest.mark.parametrize("limit,safe", [(50_000, 3), (50_000, 0), (0, 0)])

@@ -4,7 +4,7 @@ from decimal import Decimal
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-import sequential_spec as spec
+import plain_text as plain
 from ledgerlink.functions import fuzzy, scalars as fx, textratio as tr
 
 TEXT = st.text(alphabet="AB CD-E1", max_size=18)
@@ -14,7 +14,7 @@ TEXT = st.text(alphabet="AB CD-E1", max_size=18)
 @given(st.lists(st.tuples(TEXT, TEXT), min_size=1, max_size=12))
 def test_ratios_equal_the_plain_definitions(pairs):
     a, b = [p[0] for p in pairs], [p[1] for p in pairs]
-    for fast, slow in [(tr.indel_ratios, spec.ratio), (tr.partial_ratios, spec.partial), (tr.token_sort_ratios, spec.sort_ratio), (tr.token_set_ratios, spec.set_ratio)]:
+    for fast, slow in [(tr.indel_ratios, plain.ratio), (tr.partial_ratios, plain.partial), (tr.token_sort_ratios, plain.sort_ratio), (tr.token_set_ratios, plain.set_ratio)]:
         assert all(abs(x - slow(p, q)) < 1e-9 for x, p, q in zip(fast(a, b), a, b))
 
 
@@ -22,7 +22,7 @@ def test_ratios_of_long_texts():
     r = random.Random(5)
     a = ["".join(r.choice("ABCDE ") for _ in range(r.randint(60, 140))) for _ in range(12)]
     b = ["".join(r.choice("ABCDE ") for _ in range(r.randint(50, 140))) for _ in range(12)]
-    for fast, slow in [(tr.indel_ratios, spec.ratio), (tr.partial_ratios, spec.partial), (tr.token_set_ratios, spec.set_ratio)]:
+    for fast, slow in [(tr.indel_ratios, plain.ratio), (tr.partial_ratios, plain.partial), (tr.token_set_ratios, plain.set_ratio)]:
         assert all(abs(x - slow(p, q)) < 1e-9 for x, p, q in zip(fast(a, b), a, b))
 
 
