@@ -39,7 +39,11 @@ class Weights:
     @staticmethod
     def from_table(df: DataFrame) -> "Weights":
         """Reads a weight table (one row per comparison field, eight in all)."""
-        got = {r["field"]: (r["m_prob"], r["u_prob"]) for r in df.select("field", "m_prob", "u_prob").limit(len(FIELDS)).collect()}
+        per = df.groupBy("field").agg(F.count("*").alias("n"), F.min("m_prob").alias("m_prob"), F.min("u_prob").alias("u_prob")).where(F.col("field").isin(FIELDS))
+        rows = per.collect()
+        if len(rows) != len(FIELDS) or any(r["n"] != 1 for r in rows):
+            raise ValueError("a weight table holds exactly one row for each comparison field")
+        got = {r["field"]: (r["m_prob"], r["u_prob"]) for r in rows}
         return Weights(tuple((f, *got[f]) for f in FIELDS))
 
     def llr(self) -> dict[str, tuple[float, float]]:

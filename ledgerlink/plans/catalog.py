@@ -67,7 +67,7 @@ def _kept(spark, sf, name, make):
 def _matches(spark, sf) -> DataFrame:
     """Rules-only matches, written once per session."""
     inp = dt.inputs(spark, sf)
-    return _kept(spark, sf, "rules", lambda: Workspace(spark).save(rules_run(inp["transactions"], inp["invoices"], RUN, similar=same_text), "rules"))
+    return _kept(spark, sf, "rules", lambda: Workspace(spark).save(rules_run(inp["transactions"], inp["invoices"], RUN), "rules"))
 
 
 def _run(spark, sf) -> full.RunResult:
@@ -269,7 +269,7 @@ def prj16_audit_fan_out(spark, sf):
 @query
 def flt4_prepass_exclusions(spark, sf):
     t = _t(spark, sf)
-    pre = cand.prepass(t, dup.find_duplicates(t, similar=same_text))
+    pre = cand.prepass(t, dup.find_duplicates(t))
     return pre.select("txn_id", F.coalesce("excluded_as", F.lit("kept")).alias("excluded_as"), "original_id")
 
 
@@ -433,12 +433,12 @@ def sco11_vector_points(spark, sf):
 
 @query
 def sco13_comparison_signals(spark, sf):
-    s = linkage.signals(_pairs(spark, sf), names=False)
-    return s.select("txn_id", "invoice_id", *[F.col(f"g_{f}").cast("int").alias(f) for f in linkage.FIELDS if not f.startswith("name")])
+    s = linkage.signals(_pairs(spark, sf))
+    return s.select("txn_id", "invoice_id", *[F.col(f"g_{f}").cast("int").alias(f) for f in linkage.FIELDS])
 
 
 def _fs(spark, sf) -> DataFrame:
-    return linkage.signals(_ruled(spark, sf), names=False).withColumn("fs", linkage.linkage_score())
+    return linkage.signals(_ruled(spark, sf)).withColumn("fs", linkage.linkage_score())
 
 
 @query
@@ -549,7 +549,7 @@ def full_run_matches(spark, sf):
 
 
 def _labelled(spark, sf) -> DataFrame:
-    s = linkage.signals(_pairs(spark, sf), names=False)
+    s = linkage.signals(_pairs(spark, sf))
     return s.withColumn("is_match", F.regexp_extract("txn_id", r"TXN-(\d+)-", 1) == F.regexp_extract("invoice_id", r"INV-(\d+)", 1))
 
 
@@ -895,7 +895,8 @@ def stm2_stream_duplicates(spark, sf):
     q = live.duplicate_pairs(stream).writeStream.format("parquet").option("path", f"{ws.root}/dups").option("checkpointLocation", f"{ws.root}/dups-state").trigger(availableNow=True).start()
     q.awaitTermination()
     got = spark.read.parquet(f"{ws.root}/dups")
-    return got.groupBy("txn_id").agg(F.min("original_id").alias("original_id"))
+    first = F.min(F.struct("original_time", "original_id"))
+    return got.groupBy("txn_id").agg(first.alias("o")).select("txn_id", F.col("o.original_id").alias("original_id"))
 
 
 @query

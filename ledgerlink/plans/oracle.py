@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+from ledgerlink.functions.scalars import CHANNEL_PREFIXES, SPLIT_WORDS, STOP_GROUPS, STOP_RULES
+from ledgerlink.operators.linkage import PRIORS
+from ledgerlink.plans.fuzzy_sql import ratios
+
+
+def _list(words: list[str]) -> str:
+    return ",".join(f"'{w}'" for w in words)
+
+
 # Reconciliation inputs, as derived in sources/driver_tables.py.
 INV = """
 np AS (SELECT count(*) AS n, min(p_partkey) AS f FROM part),
@@ -53,24 +62,30 @@ r2 AS (SELECT *,
         CASE WHEN tds_p > 0 AND abs(amount_p - (total_p - tds_p)) <= 200 THEN 'tds' WHEN channel = 'UPI' AND abs(amount_p - gateway_p) <= 200 THEN 'gateway' END AS k_formula,
         CASE WHEN gap <= 3 THEN 20 WHEN gap <= 7 THEN 15 WHEN gap <= 30 THEN 10 WHEN gap <= 60 THEN 5 ELSE 0 END AS s_date,
         CASE WHEN contains(narr, cp) THEN 35
-             WHEN len(list_filter(string_split(cp, ' '), lambda w: length(w) >= 4 AND w NOT IN ('PRIVATE','LIMITED','PVT','LTD','SERVICES','SOLUTIONS','ENTERPRISES','TRADING','GROUP','ASSOCIATES','SUPPLIERS') AND contains(narr, substr(w, 1, 4)))) > 0 THEN 15
+             WHEN len(list_filter(string_split(cp, ' '), lambda w: length(w) >= 4 AND w NOT IN ({stop}) AND contains(narr, substr(w, 1, 4)))) > 0 THEN 15
              ELSE 0 END AS s_name FROM r1),
 r3 AS (SELECT *, CASE k_amount WHEN 'exact' THEN 45 WHEN 'gross' THEN 35 ELSE 0 END AS s_amount,
         CASE k_formula WHEN 'tds' THEN 25 WHEN 'gateway' THEN 22 ELSE 0 END AS s_formula FROM r2),
 ruled AS (SELECT *, least(100, s_ref + s_amount + s_formula + s_date + s_name) AS p1, (k_amount IS NOT NULL OR k_formula IS NOT NULL) AS p1_amount FROM r3),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY txn_id ORDER BY p1 DESC, gap, row_idx, invoice_id) AS rk FROM ruled)
 """
-RULED = PAIRS + _RULES.format(src="pairs")
+RULED = PAIRS + _RULES.format(src="pairs", stop=_list(STOP_RULES))
 BAND = "CASE WHEN {s} >= 85 THEN 'auto_accept' WHEN {s} >= 50 THEN 'review' ELSE 'reject' END"
 
-_SPLIT = "PART|SECOND|2ND|1ST|FIRST|THIRD|3RD|INSTALLMENT|INSTALMENT|TRANCHE|ADVANCE|BALANCE|SPLIT|FINAL|REMAINING|PARTIAL"
+_SPLIT = "|".join(SPLIT_WORDS)
 
-DUP = TXN + f""",
-live AS (SELECT * FROM txn WHERE NOT regexp_matches(narr, '{_SPLIT}')),
+_LIVE = TXN + f""",
+live AS (SELECT * FROM txn WHERE NOT regexp_matches(narr, '{_SPLIT}'))"""
+_DUPS = """,
 dups AS (SELECT a.txn_id, arg_min(b.txn_id, (b.txn_date, b.txn_id)) AS original_id FROM live a JOIN live b
-        ON a.merchant_id = b.merchant_id AND a.direction = b.direction AND a.amount_p = b.amount_p AND a.narr = b.narr
+        ON a.merchant_id = b.merchant_id AND a.direction = b.direction AND a.amount_p = b.amount_p AND {alike}
         AND b.txn_date <= a.txn_date AND b.txn_date >= a.txn_date - 3 AND (b.txn_date < a.txn_date OR b.txn_id < a.txn_id) GROUP BY a.txn_id)
 """
+DUP_EQUAL = _LIVE + _DUPS.format(alike="a.narr = b.narr")
+DUP = _LIVE + """,
+said AS (SELECT DISTINCT a.narr AS a, b.narr AS b FROM live a JOIN live b ON a.merchant_id = b.merchant_id AND a.direction = b.direction AND a.amount_p = b.amount_p
+        AND b.txn_date <= a.txn_date AND b.txn_date >= a.txn_date - 3),
+""" + ratios("said", "alike").strip() + _DUPS.format(alike="(a.narr, b.narr) IN (SELECT (a, b) FROM alike WHERE greatest(plain, sets) >= 85)")
 
 _PRE = """,
 pre AS (SELECT t.*, d.original_id, CASE WHEN direction = 'debit' THEN 'debit_transaction'
@@ -81,7 +96,7 @@ PRE = DUP + _PRE
 
 MATCHES = PRE + PAIRS[len(TXN):] + """,
 todo AS (SELECT p.* FROM pairs p JOIN pre USING (txn_id) WHERE pre.excluded_as IS NULL)
-""" + _RULES.format(src="todo") + f""",
+""" + _RULES.format(src="todo", stop=_list(STOP_RULES)) + f""",
 m0 AS (SELECT p.txn_id, p.k, p.part, p.merchant_id, p.txn_date, p.amount_p, p.narr, p.original_id, p.excluded_as, r.invoice_id, r.row_idx AS ik, coalesce(r.p1, 0) AS p1, r.p1_amount
       FROM pre p LEFT JOIN ranked r ON p.txn_id = r.txn_id AND r.rk = 1),
 m AS (SELECT *, {BAND.format(s='p1')} AS band, CASE WHEN invoice_id IS NULL THEN 'exception' ELSE 'one_to_one' END AS match_type,
@@ -129,13 +144,17 @@ def add(name: str, base: str, body: str) -> None:
     ORACLE[name] = _with(base, body)
 
 
-_LLR = {"ref": (0.92, 0.02), "exact": (0.88, 0.04), "tds": (0.90, 0.02), "gst": (0.85, 0.06), "close": (0.80, 0.20), "window": (0.75, 0.35)}
+_G = {"reference_number": "ref", "amount_exact": "exact", "amount_tds": "tds", "amount_gst": "gst", "name_strong": "strong", "name_weak": "weak", "date_close": "close", "date_window": "window"}
+_LLR = {_G[f]: (m, u) for f, m, u in PRIORS}
 _SIG = """,
-sig AS (SELECT *, CASE WHEN t_ref IS NOT NULL AND i_ref IS NOT NULL THEN CAST(t_ref = i_ref AS INTEGER) END AS g_ref,
+names AS (SELECT DISTINCT cp AS a, narr AS b FROM pairs),
+""" + ratios("names").strip().replace("{", "{{").replace("}", "}}") + """,
+sig AS (SELECT s.*, CASE WHEN t_ref IS NOT NULL AND i_ref IS NOT NULL THEN CAST(t_ref = i_ref AS INTEGER) END AS g_ref,
         CAST(abs(amount_p - net_p) <= 200 AS INTEGER) AS g_exact,
         CASE WHEN tds_p > 0 THEN CAST(abs(amount_p - net_p) <= 200 AS INTEGER) END AS g_tds,
         CASE WHEN gst_p > 0 THEN CAST(abs(amount_p - total_p) <= 200 AS INTEGER) END AS g_gst,
-        CAST(gap <= 7 AS INTEGER) AS g_close, CAST(gap <= 60 AS INTEGER) AS g_window FROM {src})
+        CAST(greatest(fz.part, fz.sets) >= 85 AS INTEGER) AS g_strong, CAST(greatest(fz.part, fz.sets) >= 60 AS INTEGER) AS g_weak,
+        CAST(gap <= 7 AS INTEGER) AS g_close, CAST(gap <= 60 AS INTEGER) AS g_window FROM {src} s JOIN fz ON s.cp = fz.a AND s.narr = fz.b)
 """
 _SUM = " + ".join(
     f"CASE g_{k} WHEN 1 THEN ln({m}/{u}) WHEN 0 THEN ln((1-{m})/(1-{u})) ELSE 0 END".replace(f"({m}/{u})", f"(CAST({m} AS DOUBLE)/{u})").replace(f"(1-{m})/(1-{u})", f"CAST(1-{m} AS DOUBLE)/(1-{u})")
@@ -195,7 +214,7 @@ add("flt12_exception_list", MATCHES, "SELECT txn_id, invoice_id, category AS exc
 
 # ---- joins
 add("jn1_candidate_range_join", PAIRS, "SELECT txn_id, invoice_id, CAST(gap AS BIGINT) AS gap FROM pairs")
-add("jn3_duplicate_identical_text", DUP, "SELECT txn_id, original_id FROM dups")
+add("jn3_duplicate_identical_text", DUP_EQUAL, "SELECT txn_id, original_id FROM dups")
 add("jn7_group_equality_join", OUTCOMES, "SELECT kind, category, count(*) AS n FROM oc GROUP BY ALL")
 add("jn8_calibration_join", MATCHES + LABELS, "SELECT CAST(p1 AS BIGINT) AS p_c, count(*) AS n, CAST(count(*) FILTER (WHERE l.txn_ids = [m.txn_id]) AS BIGINT) AS \"right\" FROM m LEFT JOIN lab l ON m.invoice_id = l.invoice_id GROUP BY p1")
 
@@ -210,7 +229,7 @@ _VEC = """h AS (SELECT CAST(floor((max(vec_id) + 1) / 2) AS BIGINT) AS half FROM
 vp AS (SELECT DISTINCT t.vec_id AS txn_id, h.half + (t.vec_id * 7 + j * 13) % h.half AS invoice_id FROM embeddings t, h, range(8) r(j) WHERE t.vec_id < h.half),
 vs AS (SELECT txn_id, invoice_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim FROM vp JOIN embeddings a ON a.vec_id = txn_id JOIN embeddings b ON b.vec_id = invoice_id)"""
 add("sco11_vector_points", _VEC, f"SELECT txn_id, invoice_id, CASE WHEN sim >= 0.5 THEN {_c('20.0 * (sim - 0.5) / 0.5')} ELSE 0 END AS points_c FROM vs")
-add("sco13_comparison_signals", PAIRS + _SIG.format(src="pairs"), "SELECT txn_id, invoice_id, g_ref AS reference_number, g_exact AS amount_exact, g_tds AS amount_tds, g_gst AS amount_gst, g_close AS date_close, g_window AS date_window FROM sig")
+add("sco13_comparison_signals", PAIRS + _SIG.format(src="pairs"), "SELECT txn_id, invoice_id, g_ref AS reference_number, g_exact AS amount_exact, g_tds AS amount_tds, g_gst AS amount_gst, g_strong AS name_strong, g_weak AS name_weak, g_close AS date_close, g_window AS date_window FROM sig")
 add("sco14_linkage_score", PAIRS + _SIG.format(src="pairs") + _FS, f"SELECT txn_id, invoice_id, {_c('fs')} AS fs_c FROM fs")
 add("sco15_blended_score", RULED + _SIG.format(src="ruled") + _FS, f"SELECT txn_id, invoice_id, {_c('greatest(0, least(100, CAST(0.6 AS DOUBLE) * p1 + CAST(0.4 AS DOUBLE) * fs + greatest(-20, least(20, row_idx % 61 - 30))))')} AS final_c FROM fs")
 add("sco16_band_cut", RULED, f"SELECT {BAND.format(s='p1')} AS band, count(*) AS n FROM ruled GROUP BY ALL")
@@ -225,8 +244,7 @@ add("grp1_split_groups", TXN, """SELECT i.invoice_id, array_to_string(list_sort(
 add("grp2_batch_groups", INV, "SELECT invoice_id, 1 AS found, 1 AS fits FROM (SELECT *, lead(invoice_id, 3) OVER (PARTITION BY merchant_id, k // 4096 ORDER BY k) AS i3 FROM inv WHERE status = 'open') WHERE i3 IS NOT NULL")
 add("grp3_partial_payments", TXN, """SELECT i.invoice_id, arg_min(t.txn_id, (-t.amount_p, t.txn_date, t.txn_id)) AS txn_id, max(t.amount_p) AS paid_p, any_value(i.net_p) - max(t.amount_p) AS open_p
     FROM inv i JOIN txn t ON t.merchant_id = i.merchant_id AND t.t_ref = i.i_ref AND t.direction = 'credit' AND t.amount_p < i.net_p WHERE i.status = 'open' GROUP BY i.invoice_id""")
-_PRIOR = {"reference_number": ("g_ref", 0.92, 0.02), "amount_exact": ("g_exact", 0.88, 0.04), "amount_tds": ("g_tds", 0.90, 0.02), "amount_gst": ("g_gst", 0.85, 0.06),
-          "name_strong": (None, 0.90, 0.08), "name_weak": (None, 0.70, 0.25), "date_close": ("g_close", 0.80, 0.20), "date_window": ("g_window", 0.75, 0.35)}
+_PRIOR = {f: (f"g_{_G[f]}", m, u) for f, m, u in PRIORS}
 _EST = " UNION ALL ".join(
     (f"SELECT '{f}' AS field, (count(*) FILTER (WHERE tk = row_idx AND {g} = 1) + 1.0) / (count(*) FILTER (WHERE tk = row_idx AND {g} IS NOT NULL) + 2) AS m, (count(*) FILTER (WHERE tk <> row_idx AND {g} = 1) + 1.0) / (count(*) FILTER (WHERE tk <> row_idx AND {g} IS NOT NULL) + 2) AS u, {m} AS m0, {u} AS u0 FROM sig" if g
      else f"SELECT '{f}', 0.5, 0.5, {m}, {u}") for f, (g, m, u) in _PRIOR.items())
@@ -326,8 +344,9 @@ add("set2_unmatched_invoices", MATCHES, "SELECT invoice_id FROM inv WHERE status
 add("set3_display_rows", MATCHES, "SELECT txn_id, amount_p, band, coalesce(invoice_id, '') AS invoices FROM m")
 
 # ---- scalars
-_STOP27 = "'PRIVATE','LIMITED','PVT','LTD','SERVICES','SOLUTIONS','CORP','CORPORATION','ENTERPRISES','TRADING','TRADERS','GROUP','ASSOCIATES','SUPPLIERS','LOGISTICS','AND','THE','FOR','FROM','WITH','PAYMENT','INDIA','INDUSTRIES','TECHNOLOGIES','PLC','CO','COMPANY'"
-add("str_text_functions", TXN, f"""SELECT txn_id, regexp_replace(narr, '^(UPI/|NEFT-|IMPS/|RTGS/|CHQ DEP )', '') AS stripped, array_to_string(list_filter(string_split(narr, ' '), lambda w: length(w) >= 4 AND w NOT IN ({_STOP27})), '|') AS tokens,
+_STOP27 = _list(STOP_GROUPS)
+_PREFIX = "|".join(CHANNEL_PREFIXES)
+add("str_text_functions", TXN, f"""SELECT txn_id, regexp_replace(narr, '^({_PREFIX})', '') AS stripped, array_to_string(list_filter(string_split(narr, ' '), lambda w: length(w) >= 4 AND w NOT IN ({_STOP27})), '|') AS tokens,
     array_to_string(regexp_extract_all(narr, '\\bINV-\\d+\\b'), '|') AS invoices, CAST(regexp_matches(narr, '{_SPLIT}') AS INTEGER) AS part_word FROM txn""")
 add("str1_amount_parsing", INV, "SELECT invoice_id, CASE WHEN k % 5 IN (2, 3) THEN NULL ELSE total_p END AS amount_p FROM inv")
 add("str11_leading_digit", TXN, "SELECT txn_id, CAST(nullif(regexp_extract(CAST(amount_p AS VARCHAR), '[1-9]'), '') AS BIGINT) AS digit FROM txn")
@@ -345,3 +364,29 @@ fd AS (SELECT t.txn_id, CASE WHEN t.direction = 'credit' AND NOT (t.amount_p <=
 """
 add("stm1_live_feed", _FEED, f"SELECT txn_id, invoice_id, {_c('s')} AS score_c, {BAND.format(s='s')} AS band FROM fd")
 add("stm3_band_totals", _FEED, f"SELECT 'TESTDATA' AS batch_id, {BAND.format(s='s')} AS band, count(*) AS n FROM fd GROUP BY ALL")
+
+# ---- fuzzy ratios and what is built on them
+add("jn3_duplicate_interval_join", DUP, "SELECT txn_id, original_id FROM dups")
+add("stm2_stream_duplicates", DUP, "SELECT txn_id, original_id FROM dups")
+_NAMED = "fd AS (SELECT DISTINCT cp AS a, narr AS b FROM pairs),"
+add("str9_fuzzy_ratios", PAIRS + "," + _NAMED + ratios("fd"), f"SELECT a AS cp, b AS narr, {_c('plain')} AS ratio_c, {_c('sorted')} AS sort_c, {_c('part')} AS partial_c, {_c('sets')} AS set_c FROM fz")
+_SECOND = RULED + f""",
+bare AS (SELECT *, regexp_replace(narr, '^({_PREFIX})', '') AS said FROM ruled),
+fd AS (SELECT DISTINCT cp AS a, said AS b FROM bare),""" + ratios("fd") + f""",
+fuzzy AS (SELECT r.*, greatest(fz.part, fz.sorted) AS ratio FROM bare r JOIN fz ON r.cp = fz.a AND r.said = fz.b),
+points AS (SELECT *, CASE WHEN ratio >= 40 THEN round_even(18.0::DOUBLE * (ratio - 40.0::DOUBLE) / 60, 2) ELSE 0.0::DOUBLE END AS f_name,
+    CASE WHEN net_p <> 0 AND {_PCT} <= 0.30 THEN CAST({_half_up(f"12.0::DOUBLE * exp(-0.5::DOUBLE * ({_PCT} / 0.10::DOUBLE) * ({_PCT} / 0.10::DOUBLE))", 2)} AS DOUBLE) END AS f_amount,
+    CASE WHEN gap <= 60 THEN CAST({_half_up("10.0::DOUBLE * exp(-0.5::DOUBLE * (gap / 15.0::DOUBLE) * (gap / 15.0::DOUBLE))", 2)} AS DOUBLE) END AS f_date FROM fuzzy),
+scored AS (SELECT *, least(100.0::DOUBLE, p1 + f_name + coalesce(f_amount, 0) + coalesce(f_date, 0)) AS p2, p1_amount OR f_amount IS NOT NULL AS p2_amount,
+    row_number() OVER (PARTITION BY txn_id ORDER BY p1 DESC, gap, row_idx, invoice_id) AS r1 FROM points),
+settled AS (SELECT *, r1 = 1 AND p1 >= 55 AND p1_amount AS by_rules FROM scored),
+second AS (SELECT *, CASE WHEN by_rules THEN CAST(p1 AS DOUBLE) ELSE p2 END AS score, CASE WHEN by_rules THEN 'pass1_rules' WHEN p2 >= 70 AND p2_amount THEN 'pass2_fuzzy' END AS resolved FROM settled)
+"""
+add("sco7_fuzzy_name_points", _SECOND, f"SELECT txn_id, invoice_id, {_c('f_name')} AS points_c FROM points WHERE f_name > 0")
+add("sco10_second_pass_ranking", _SECOND, f"SELECT txn_id, invoice_id, rank, {_c('score')} AS score_c, resolved FROM (SELECT *, CAST(row_number() OVER (PARTITION BY txn_id ORDER BY score DESC, r1) AS INTEGER) AS rank FROM second) WHERE rank <= 2")
+add("jn4_name_relevance_join", TXN + f""",
+nm AS (SELECT DISTINCT merchant_id, cp, list_filter(list_transform(string_split(cp, ' '), lambda w: regexp_replace(regexp_replace(w, '^[,.\\-/''"]+', ''), '[,.\\-/''"]+$', '')), lambda w: length(w) >= 4 AND w NOT IN ({_list(STOP_GROUPS)})) AS marks FROM inv WHERE status = 'open'),
+tx AS (SELECT DISTINCT merchant_id, narr FROM txn WHERE direction = 'credit' AND NOT regexp_matches(narr, '\\bINV-\\d+\\b')),
+met AS (SELECT merchant_id, cp, narr, contains(narr, cp) OR len(list_filter(marks, lambda w: contains(narr, w))) > 0 AS plainly FROM nm JOIN tx USING (merchant_id)),
+fd AS (SELECT DISTINCT cp AS a, narr AS b FROM met WHERE NOT plainly),""" + ratios("fd"), """SELECT merchant_id, cp, narr FROM met WHERE plainly
+    UNION ALL SELECT merchant_id, cp, narr FROM met JOIN fz ON cp = a AND narr = b WHERE NOT plainly AND sets >= 70""")
