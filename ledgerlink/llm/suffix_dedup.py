@@ -213,20 +213,26 @@ def scan_runs(texts: DataFrame, depth: int, gram: int) -> DataFrame:
     return texts.mapInArrow(scan, RUN)
 
 
-def shared_groups(rows: DataFrame) -> DataFrame:
-    """The rows of groups with at least two rows; ``same`` if all of them are of one class."""
+def shared_groups(ws: Workspace, rows: DataFrame) -> DataFrame:
+    """The rows of groups with at least two rows; ``same`` if all of them are of one class.
+
+    Counts are written before the join, so that both of its sides come straight from a shuffle and Spark can split
+    the rows of a group that very many texts share.
+    """
     known = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("a"), F.max("cls").alias("z")).filter("m > 1")
-    return rows.join(known.select("grp", (F.col("a") == F.col("z")).alias("same")), "grp")
+    known = ws.save(known.select("grp", (F.col("a") == F.col("z")).alias("same")), "groups")
+    return rows.join(known, "grp")
 
 
-def resolve(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+def resolve(ws: Workspace, rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """(repeated rows, one row for each class of mixed groups), both of ``shared_groups`` rows.
 
     A class's row is ``alone`` if it stands for one row only: then its own suffixes are still open.
     """
     mixed = rows.filter("not same")
-    classes = mixed.groupBy("grp", "cls").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(*columns)).alias("row"))
-    repeated = rows.filter("same").select(columns).unionByName(mixed.join(classes.filter("m > 1").select("grp", "cls"), ["grp", "cls"], "left_semi").select(columns))
+    classes = ws.save(mixed.groupBy("grp", "cls").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(*columns)).alias("row")), "classes")
+    again = classes.filter("m > 1").select("grp", "cls")
+    repeated = rows.filter("same").select(columns).unionByName(mixed.join(again, ["grp", "cls"], "left_semi").select(columns))
     return repeated, classes.select("row.*", "grp", "cls", (F.col("m") == 1).alias("alone"))
 
 
@@ -323,14 +329,14 @@ def repeated_spans(docs: DataFrame, text: str = "text", depth: int = DEPTH, gram
     texts = docs.select(F.col(text).cast("string").alias("text"))
     place = ["t1", "t2", "lo", "n", "ahead"]
 
-    digit1 = ws.save(shared_groups(scan_runs(texts, depth, gram)), "runs")
-    whole_runs, open_runs = resolve(digit1, place)
+    digit1 = ws.save(shared_groups(ws, scan_runs(texts, depth, gram)), "runs")
+    whole_runs, open_runs = resolve(ws, digit1, place)
     contexts = ws.save(cut_contexts(packed_texts(texts, once=True), open_runs.drop("cls"), depth), "contexts")
 
-    digit2 = ws.save(shared_groups(cell_rows(contexts, depth)), "cells")
-    whole_cells, open_cells = resolve(digit2, ["t1", "t2", "lo", "first", "n", "open"])
+    digit2 = ws.save(shared_groups(ws, cell_rows(contexts, depth)), "cells")
+    whole_cells, open_cells = resolve(ws, digit2, ["t1", "t2", "lo", "first", "n", "open"])
     digit3 = ws.save(window_rows(contexts, open_cells, depth), "windows")
-    again = digit3.groupBy("grp", "cls").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("grp", "cls")
+    again = ws.save(digit3.groupBy("grp", "cls").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("grp", "cls"), "again")
     whole_windows = digit3.filter("open").join(again, ["grp", "cls"], "left_semi")
 
     span = lambda lo, n: ["t1", "t2", lo.cast("long").alias("lo"), n.cast("long").alias("n")]
