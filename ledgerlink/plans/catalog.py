@@ -467,35 +467,37 @@ def sco17_safety_gates(spark, sf):
 # ---------------------------------------------------------------- groups, assignment, model fitting
 
 
-def _named_pools(spark, sf) -> DataFrame:
-    """Open invoices with the credits that name them, at most the pool limit."""
+def _namings(spark, sf) -> DataFrame:
+    """Open invoices with each credit that names them."""
     t = _t(spark, sf).where("direction = 'credit'").withColumn("inv_u", F.explode(F.array_distinct(fx.invoice_tokens(F.col("narr")))))
     i = _i(spark, sf).where("status = 'open'").select("batch_id", "merchant_id", "invoice_id", "inv_u", "invoice_date", "net_p")
-    rows = i.join(t, ["batch_id", "merchant_id", "inv_u"])
-    n = rows.groupBy("invoice_id").agg(F.count("*").alias("n")).where(F.col("n") <= DEFAULT.pool_max)
-    member = F.struct((-F.col("amount_p")).alias("neg"), "txn_date", F.col("txn_id").alias("id"), "amount_p", fx.day_gap(F.col("txn_date"), F.col("invoice_date")).alias("gap"), F.lit(True).alias("name_ok"))
-    return rows.join(n, "invoice_id").groupBy("invoice_id", F.col("net_p").alias("target_p")).agg(F.array_sort(F.collect_list(member)).alias("members"))
+    return i.join(t, ["batch_id", "merchant_id", "inv_u"])
 
 
 @query
 def grp1_split_groups(spark, sf):
-    got = groups.solve_pools(_named_pools(spark, sf)).where(F.col("chosen").isNotNull())
-    return got.select("invoice_id", F.array_join(F.array_sort(F.col("chosen")["id"]), "|").alias("txn_ids"), F.col("sol.n_solutions").cast("bigint").alias("n_solutions"))
+    """Split groups of the credits that name an invoice; pools above the limit are flagged, not searched."""
+    rows = _namings(spark, sf)
+    sizes = rows.groupBy("invoice_id").agg(F.count("*").alias("n"))
+    member = F.struct((-F.col("amount_p")).alias("neg"), "txn_date", F.col("txn_id").alias("id"), "amount_p", fx.day_gap(F.col("txn_date"), F.col("invoice_date")).alias("gap"), F.lit(True).alias("name_ok"))
+    pools = rows.join(sizes.where(F.col("n") <= DEFAULT.pool_max), "invoice_id").groupBy("invoice_id", F.col("net_p").alias("target_p")).agg(F.array_sort(F.collect_list(member)).alias("members"))
+    got = groups.solve_pools(pools).where(F.col("chosen").isNotNull())
+    found = got.select("invoice_id", F.array_join(F.array_sort(F.col("chosen")["id"]), "|").alias("txn_ids"), F.col("sol.n_solutions").cast("bigint").alias("n_solutions"), F.lit(0).alias("flagged"))
+    large = sizes.where(F.col("n") > DEFAULT.pool_max).select("invoice_id", F.lit(None).cast("string").alias("txn_ids"), F.lit(0).cast("bigint").alias("n_solutions"), F.lit(1).alias("flagged"))
+    return found.unionByName(large)
 
 
 @query
 def grp2_batch_groups(spark, sf):
-    """Payments made of two consecutive invoices of a customer line, searched among four neighbours."""
-    i = dt.inputs(spark, sf)["invoices"].where("status = 'open'").select("merchant_id", "invoice_id", "invoice_date", "row_idx", _p("expected_net_amount").alias("net_p"))
-    w = Window.partitionBy("merchant_id", F.floor(F.col("row_idx") / 4096)).orderBy("row_idx")
-    rows = i
-    for n in range(1, 4):
-        rows = rows.withColumn(f"i{n}", F.lead("invoice_id", n).over(w)).withColumn(f"n{n}", F.lead("net_p", n).over(w)).withColumn(f"d{n}", F.lead("invoice_date", n).over(w))
-    rows = rows.where(F.col("i3").isNotNull()).withColumn("target_p", F.col("net_p") + F.col("n2"))
-    m = lambda i_, n_, d_: F.struct(F.col(i_).alias("id"), F.col(n_).alias("amount_p"), F.abs(F.datediff(d_, "invoice_date")).alias("gap"), F.lit(True).alias("name_ok"))
-    pools = rows.withColumn("members", F.array(m("invoice_id", "net_p", "invoice_date"), m("i1", "n1", "d1"), m("i2", "n2", "d2"), m("i3", "n3", "d3")))
-    got = groups.solve_pools(pools)
-    return got.select("invoice_id", (F.col("sol.n_solutions") >= 1).cast("int").alias("found"), (F.abs(F.aggregate(F.col("chosen")["amount_p"], F.lit(0).cast("bigint"), lambda s, a: s + a) - F.col("target_p")) <= DEFAULT.tolerance_paise).cast("int").alias("fits"))
+    """The full run's batch search over each credit's real candidates, for a payment of its two nearest ones together."""
+    key = ["batch_id", "merchant_id", "txn_id"]
+    near = Window.partitionBy(*key).orderBy("gap", "row_idx")
+    every = Window.partitionBy(*key)
+    p = groups.with_name_ok(_pairs(spark, sf).where("direction = 'credit'"))
+    p = p.withColumn("rel", F.when(F.size("ids") > 0, F.array_contains("ids", F.col("inv_u"))).otherwise(F.col("name_ok"))).withColumn("_n", F.row_number().over(near))
+    p = p.withColumn("amount_p", F.sum(F.when(F.col("_n") <= 2, F.col("net_p"))).over(every)).withColumn("n_all", F.count("*").over(every)).withColumn("n_rel", F.count_if("rel").over(every))
+    got = full._batch_groups(p, DEFAULT)
+    return got.select("txn_id", "kind", F.array_join(F.array_sort("invoice_ids"), "|").alias("invoice_ids"), F.col("n_solutions").cast("bigint").alias("n_solutions"), F.col("n_valid").cast("bigint").alias("n_valid"))
 
 
 @query

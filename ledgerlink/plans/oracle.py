@@ -237,11 +237,19 @@ add("sco17_safety_gates", RULED, f"""SELECT gate, CASE WHEN gate IN ('exception'
     FROM (SELECT *, CASE WHEN row_idx % 11 = 0 THEN 'exception' WHEN p1 < 30 THEN 'hard_floor' WHEN row_idx % 5 = 0 AND p1 >= 85 THEN 'human_review' WHEN row_idx % 7 = 0 AND p1 >= 85 THEN 'flagged' ELSE 'none' END AS gate FROM ruled) GROUP BY ALL""")
 
 # ---- groups and fitting
-add("grp1_split_groups", TXN, """SELECT i.invoice_id, array_to_string(list_sort([a.txn_id, b.txn_id]), '|') AS txn_ids, CAST(1 AS BIGINT) AS n_solutions FROM inv i
-    JOIN txn a ON a.merchant_id = i.merchant_id AND a.direction = 'credit' AND list_contains(regexp_extract_all(a.narr, '\\bINV-\\d+\\b'), i.invoice_id)
-    JOIN txn b ON b.merchant_id = i.merchant_id AND b.direction = 'credit' AND list_contains(regexp_extract_all(b.narr, '\\bINV-\\d+\\b'), i.invoice_id) AND a.txn_id < b.txn_id
-    WHERE i.status = 'open' AND abs(a.amount_p + b.amount_p - i.net_p) <= 200""")
-add("grp2_batch_groups", INV, "SELECT invoice_id, 1 AS found, 1 AS fits FROM (SELECT *, lead(invoice_id, 3) OVER (PARTITION BY merchant_id, k // 4096 ORDER BY k) AS i3 FROM inv WHERE status = 'open') WHERE i3 IS NOT NULL")
+# Every subset of at most 16 members is a number; a member belongs to it if its bit is set.
+_SUBSETS = """,
+pool AS (SELECT key, target, list({'id': id, 'net': net, 'gap': gap, 'ok': ok} ORDER BY o) AS m FROM member GROUP BY key, target HAVING count(*) BETWEEN 2 AND 16),
+subset AS (SELECT key, target, m, list_filter(range(len(m)), lambda i: (x >> i) & 1 = 1) AS pos FROM (SELECT *, unnest(range(1 << len(m)::INTEGER)) AS x FROM pool)),
+meets AS (SELECT key, pos, list_transform(pos, lambda i: m[i + 1]) AS got FROM subset WHERE len(pos) >= 2 AND abs(list_sum(list_transform(pos, lambda i: m[i + 1].net)) - target) <= 200),
+judged AS (SELECT *, CAST(list_bool_and(list_transform(got, lambda g: g.ok)) AS INTEGER) AS named, list_max(list_transform(got, lambda g: g.gap)) AS far FROM meets),
+best AS (SELECT key, count(*) AS n_solutions, CASE WHEN sum(named) > 0 THEN sum(named) ELSE count(*) END AS n_valid, arg_min(got, (-named, len(pos), far, pos)) AS got FROM judged GROUP BY key)
+"""
+add("grp1_split_groups", TXN + """,
+namings AS (SELECT DISTINCT i.invoice_id AS key, i.net_p AS target, t.txn_id AS id, t.amount_p AS net, abs(date_diff('day', i.invoice_date, t.txn_date)) AS gap, true AS ok, (-t.amount_p, t.txn_date, t.txn_id) AS o
+    FROM inv i JOIN txn t ON t.merchant_id = i.merchant_id AND t.direction = 'credit' AND list_contains(regexp_extract_all(t.narr, '\\bINV-\\d+\\b'), i.invoice_id) WHERE i.status = 'open'),
+member AS (SELECT * FROM namings)""" + _SUBSETS, """SELECT key AS invoice_id, array_to_string(list_sort(list_transform(got, lambda g: g.id)), '|') AS txn_ids, n_solutions, 0 AS flagged FROM best
+    UNION ALL SELECT key, NULL, 0, 1 FROM namings GROUP BY key HAVING count(*) > 16""")
 add("grp3_partial_payments", TXN, """SELECT i.invoice_id, arg_min(t.txn_id, (-t.amount_p, t.txn_date, t.txn_id)) AS txn_id, max(t.amount_p) AS paid_p, any_value(i.net_p) - max(t.amount_p) AS open_p
     FROM inv i JOIN txn t ON t.merchant_id = i.merchant_id AND t.t_ref = i.i_ref AND t.direction = 'credit' AND t.amount_p < i.net_p WHERE i.status = 'open' GROUP BY i.invoice_id""")
 _PRIOR = {f: (f"g_{_G[f]}", m, u) for f, m, u in PRIORS}
@@ -384,6 +392,18 @@ second AS (SELECT *, CASE WHEN by_rules THEN CAST(p1 AS DOUBLE) ELSE p2 END AS s
 """
 add("sco7_fuzzy_name_points", _SECOND, f"SELECT txn_id, invoice_id, {_c('f_name')} AS points_c FROM points WHERE f_name > 0")
 add("sco10_second_pass_ranking", _SECOND, f"SELECT txn_id, invoice_id, rank, {_c('score')} AS score_c, resolved FROM (SELECT *, CAST(row_number() OVER (PARTITION BY txn_id ORDER BY score DESC, r1) AS INTEGER) AS rank FROM second) WHERE rank <= 2")
+_CONSISTENT = """,
+met AS (SELECT *, contains(narr, cp) OR len(list_filter({marks}, lambda w: contains(narr, w))) > 0 AS plainly FROM {src}),
+fd AS (SELECT DISTINCT cp AS a, trim(narr) AS b FROM met WHERE NOT plainly),"""
+_MARKS = f"list_filter(list_transform(string_split(cp, ' '), lambda w: regexp_replace(regexp_replace(w, '^[,.\\-/''\"]+', ''), '[,.\\-/''\"]+$', '')), lambda w: length(w) >= 4 AND w NOT IN ({_list(STOP_GROUPS)}))"
+add("grp2_batch_groups", PAIRS + """,
+cand AS (SELECT *, row_number() OVER (PARTITION BY txn_id ORDER BY gap, row_idx) AS nth FROM pairs WHERE direction = 'credit')""" + _CONSISTENT.format(marks=_MARKS, src="cand") + ratios("fd") + """,
+named AS (SELECT met.*, plainly OR coalesce(sets, 0) >= 70 AS name_ok, regexp_extract_all(narr, '\\bINV-\\d+\\b') AS ids FROM met LEFT JOIN fz ON NOT plainly AND cp = a AND trim(narr) = b),
+rels AS (SELECT *, CASE WHEN len(ids) > 0 THEN list_contains(ids, invoice_id) ELSE name_ok END AS rel FROM named),
+counted AS (SELECT *, sum(CASE WHEN nth <= 2 THEN net_p ELSE 0 END) OVER w AS target, count(*) OVER w AS n_all, count(*) FILTER (rel) OVER w AS n_rel FROM rels WINDOW w AS (PARTITION BY txn_id)),
+sized AS (SELECT *, CASE WHEN n_rel > 0 THEN n_rel ELSE n_all END AS size FROM counted),
+member AS (SELECT txn_id AS key, target, invoice_id AS id, net_p AS net, gap, name_ok AS ok, (gap, row_idx) AS o FROM sized WHERE size <= 16 AND (rel OR n_rel = 0))""" + _SUBSETS, """SELECT key AS txn_id, 'batch_one_to_many' AS kind, array_to_string(list_sort(list_transform(got, lambda g: g.id)), '|') AS invoice_ids, n_solutions, CAST(n_valid AS BIGINT) AS n_valid FROM best
+    UNION ALL SELECT DISTINCT txn_id, 'flagged', NULL, 0, 0 FROM sized WHERE size > 16""")
 add("jn4_name_relevance_join", TXN + f""",
 nm AS (SELECT DISTINCT merchant_id, cp, list_filter(list_transform(string_split(cp, ' '), lambda w: regexp_replace(regexp_replace(w, '^[,.\\-/''"]+', ''), '[,.\\-/''"]+$', '')), lambda w: length(w) >= 4 AND w NOT IN ({_list(STOP_GROUPS)})) AS marks FROM inv WHERE status = 'open'),
 tx AS (SELECT DISTINCT merchant_id, narr FROM txn WHERE direction = 'credit' AND NOT regexp_matches(narr, '\\bINV-\\d+\\b')),
