@@ -738,14 +738,18 @@ def agg12_batch_risk(spark, sf):
 
 @query
 def win1_pair_ranking(spark, sf):
-    w = Window.partitionBy("batch_id", "txn_id").orderBy(F.desc("p1"), "gap", "row_idx", "invoice_id")
-    return _ruled(spark, sf).select("txn_id", "invoice_id", F.row_number().over(w).cast("bigint").alias("rank"))
+    return _second_pass(spark, sf).select("txn_id", "invoice_id", F.col("r1").cast("bigint").alias("rank"))
+
+
+def _second_pass(spark, sf) -> DataFrame:
+    none = F.lit(None).cast("double")
+    p = scoring.fuzzy_points(_ruled(spark, sf)).withColumn("sim", none).withColumn("s_vec", none)
+    return scoring.rank_pairs(p, DEFAULT.with_(enable_embedding=False))
 
 
 @query
 def win3_close_calls(spark, sf):
-    w = Window.partitionBy("batch_id", "txn_id").orderBy(F.desc("p1"), "gap", "row_idx", "invoice_id")
-    two = _ruled(spark, sf).withColumn("r", F.row_number().over(w)).where("r <= 2").groupBy("txn_id").agg((F.max("p1") - F.min("p1")).alias("d"), F.count("*").alias("n"))
+    two = _second_pass(spark, sf).where("rank <= 2").groupBy("txn_id").agg((F.max("score") - F.min("score")).alias("d"), F.count("*").alias("n"))
     return two.where((F.col("n") == 2) & (F.col("d") < DEFAULT.near_duplicate_gap)).select("txn_id", cents(F.col("d")).alias("gap_c"))
 
 

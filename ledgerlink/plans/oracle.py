@@ -342,7 +342,6 @@ add("prj16_audit_fan_out", INV, "SELECT 1 AS ids_are_unique, CAST(0 AS BIGINT) A
 
 # ---- ranking, order, sets
 add("win1_pair_ranking", RULED, "SELECT txn_id, invoice_id, rk AS rank FROM ranked")
-add("win3_close_calls", RULED, f"SELECT txn_id, {_c('d')} AS gap_c FROM (SELECT txn_id, max(p1) - min(p1) AS d, count(*) AS n FROM ranked WHERE rk <= 2 GROUP BY txn_id) WHERE n = 2 AND d < 15")
 add("win4_top_k_similarity", _VEC, "SELECT txn_id, invoice_id, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY txn_id ORDER BY round(sim, 9) DESC, invoice_id) AS r FROM vs) WHERE r <= 5")
 add("win5_first_row_per_id", TXN, "SELECT txn_id, amount_p, row_idx FROM (SELECT 'T' || (k % 5000) AS txn_id, amount_p, k * 2 + part AS row_idx, row_number() OVER (PARTITION BY k % 5000 ORDER BY k * 2 + part) AS n FROM txn) WHERE n = 1")
 add("win6_processing_order", TXN, "SELECT merchant_id, strftime(txn_date, '%Y-%m-%d') AS day, arg_min(txn_id, (-amount_p, txn_id)) AS txn_id FROM txn GROUP BY merchant_id, txn_date")
@@ -404,6 +403,7 @@ counted AS (SELECT *, sum(CASE WHEN nth <= 2 THEN net_p ELSE 0 END) OVER w AS ta
 sized AS (SELECT *, CASE WHEN n_rel > 0 THEN n_rel ELSE n_all END AS size FROM counted),
 member AS (SELECT txn_id AS key, target, invoice_id AS id, net_p AS net, gap, name_ok AS ok, (gap, row_idx) AS o FROM sized WHERE size <= 16 AND (rel OR n_rel = 0))""" + _SUBSETS, """SELECT key AS txn_id, 'batch_one_to_many' AS kind, array_to_string(list_sort(list_transform(got, lambda g: g.id)), '|') AS invoice_ids, n_solutions, CAST(n_valid AS BIGINT) AS n_valid FROM best
     UNION ALL SELECT DISTINCT txn_id, 'flagged', NULL, 0, 0 FROM sized WHERE size > 16""")
+add("win3_close_calls", _SECOND, f"SELECT txn_id, {_c('d')} AS gap_c FROM (SELECT txn_id, max(score) - min(score) AS d, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY txn_id ORDER BY score DESC, r1) AS rank FROM second) WHERE rank <= 2 GROUP BY txn_id) WHERE n = 2 AND d < 15")
 add("jn4_name_relevance_join", TXN + f""",
 nm AS (SELECT DISTINCT merchant_id, cp, list_filter(list_transform(string_split(cp, ' '), lambda w: regexp_replace(regexp_replace(w, '^[,.\\-/''"]+', ''), '[,.\\-/''"]+$', '')), lambda w: length(w) >= 4 AND w NOT IN ({_list(STOP_GROUPS)})) AS marks FROM inv WHERE status = 'open'),
 tx AS (SELECT DISTINCT merchant_id, narr FROM txn WHERE direction = 'credit' AND NOT regexp_matches(narr, '\\bINV-\\d+\\b')),

@@ -130,13 +130,19 @@ def weight(edges):
 def test_assignment_is_optimal_in_every_mode(spark, limit, safe):
     """Whole components, safe pairs first, and (with limit 0) auction rounds alone."""
     r = random.Random(limit + safe)
-    rows = [(f"t{a}", f"i{b}", r.choice([30, 29.9, 45.5, 92, 80, 82, round(r.uniform(30, 100), 2)]), False) for a in range(7) for b in range(6) if r.random() < 0.55]
+    rows = [(f"t{a}", f"i{b}", r.choice([30, 29.9, 45.5, 92, 80, 82, round(r.uniform(30, 100), 2)]), False) for a in range(7 if limit else 4) for b in range(6 if limit else 3) if r.random() < 0.55]
     got = asn.assign(Workspace(spark), edges_df(spark, rows), solve_limit=limit, safe_rounds=safe).collect()
     s = {(t, i): w for t, i, w, _ in rows}
     assert len({g.txn_id for g in got}) == len({g.invoice_id for g in got}) == len(got)
     assert sum(round(s[g.txn_id, g.invoice_id] * 100) for g in got) == weight(rows)
 
 
+def test_auction_ends_when_equal_payments_want_equal_invoices(spark):
+    rows = [(f"t{a}", f"i{b}", 50.0, False) for a in range(3) for b in range(2)]
+    got = asn.assign(Workspace(spark), edges_df(spark, rows), solve_limit=0, safe_rounds=0).collect()
+    assert len(got) == 2 == len({g.txn_id for g in got}) == len({g.invoice_id for g in got})
+
+
 def test_assignment_beats_greedy_and_keeps_ties(spark):
     greedy = [("t1", "i1", 92, True), ("t1", "i2", 91, False), ("t2", "i1", 82, True), ("t2", "i2", 70, False)]
     got = {(g.txn_id, g.invoice_id) for g in asn.assign(Workspace(spark), edges_df(spark, greedy)).collect()}
