@@ -118,7 +118,36 @@ def _op1_sql() -> str:
         FROM rows JOIN scores USING (key) CROSS JOIN cut"""
 
 
+def _op9_sql() -> str:
+    """The secret scan in SQL; every window's characters are counted anew."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    found = " UNION ALL ".join(
+        f"SELECT row, {n} AS kind, regexp_extract_all(s, {q(p)}) AS hits, regexp_extract_all(s, {q(p)}, {2 if n == 0 else 0}) AS vals, string_split_regex(s, {q(p)}) AS gaps FROM d"
+        for n, p in enumerate(secret_scan.PATTERNS.values())
+    )
+    bound = "CASE " + " ".join(f"WHEN regexp_matches(hit, {q(p)}) THEN {secret_scan.most_weight(b)}" for p, b in secret_scan.CLASSES) + " END"
+    allowed = " OR ".join(f"regexp_matches(hit, {q(p)})" for p in secret_scan.ALLOW)
+    size = secret_scan.WINDOW
+    names = "[" + ", ".join(q(k) for k in secret_scan.KINDS) + "]"
+    line = f"coalesce(string_agg({names}[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER ({{}}), '')"
+    return f"""
+        WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS s FROM documents),
+        found AS ({found}),
+        hits AS (SELECT row, kind, i, hits[i] AS hit, vals[i] AS val, gaps[i] AS gap FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM found)),
+        placed AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY row, kind ORDER BY i) - length(hit) AS start FROM hits),
+        base AS (SELECT row, kind, start::BIGINT AS start, (start + length(hit))::BIGINT AS stop FROM placed WHERE kind IN (1, 2) OR kind = 0 AND length(val) >= {secret_scan.LEAST_VALUE}),
+        cand AS (SELECT row, start, hit, {bound} AS bound FROM placed WHERE kind = 3 AND regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND NOT ({allowed})),
+        win AS (SELECT *, unnest(range(0, length(hit) - {size - 1})) AS at0 FROM cand),
+        heavy AS (SELECT *, list_sum(list_transform(map_values(list_aggregate(string_split(substring(hit, (at0 + 1)::BIGINT, {size}), ''), 'histogram')), lambda n: {secret_scan.WEIGHTS}[n::BIGINT + 1])) AS w FROM win),
+        more AS (SELECT row, 3 AS kind, (start + min(at0))::BIGINT AS start, (start + max(at0) + {size})::BIGINT AS stop FROM heavy WHERE w <= bound GROUP BY row, start, hit),
+        spans AS (SELECT * FROM base UNION ALL SELECT * FROM more m WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.row = m.row AND b.start < m.stop AND m.start < b.stop))
+        SELECT any_value(doc_id) AS doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+               sha256({line.format("kind < 3")}) AS base_sha256, {line.format("kind IS NOT NULL")} AS spans
+        FROM d LEFT JOIN spans USING (row) GROUP BY row"""
+
+
 ORACLE = {
+    "op9_secret_scan": _op9_sql(),
     "op1_url_markov": _op1_sql(),
     "op4_pivot_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
