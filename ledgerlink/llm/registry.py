@@ -147,6 +147,20 @@ def _op9_sql() -> str:
 
 
 ORACLE = {
+    "op2_suffix_radix": """
+        WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS row, encode(coalesce(text, '')) AS b FROM documents),
+        n AS (SELECT *, octet_length(b) AS n FROM d),
+        w AS (SELECT row, p, md5(b[p:p + 399]) AS h FROM (SELECT row, b, unnest(range(1, n - 398)) AS p FROM n WHERE n >= 400)),
+        again AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+        hit AS (SELECT row, p, lag(p) OVER (PARTITION BY row ORDER BY p) AS q FROM w SEMI JOIN again USING (h)),
+        part AS (SELECT row, p, sum(CASE WHEN q IS NULL OR p - q > 400 THEN 1 ELSE 0 END) OVER (PARTITION BY row ORDER BY p) AS k FROM hit),
+        gone AS (SELECT row, k, min(p) AS a, max(p) + 399 AS z FROM part GROUP BY row, k),
+        cut AS (SELECT row, list(a ORDER BY a) AS starts, list(z ORDER BY a) AS stops, sum(z - a + 1)::BIGINT AS n_removed, count(*) AS n_spans FROM gone GROUP BY row),
+        ends AS (SELECT doc_id, n, b, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, list_prepend(1, list_transform(coalesce(stops, []), lambda z: z + 1)) AS lo,
+                        list_append(list_transform(coalesce(starts, []), lambda a: a - 1), n) AS hi FROM n LEFT JOIN cut USING (row))
+        SELECT doc_id, n AS n_bytes, n_removed, n_spans,
+               sha256(unhex(array_to_string(list_transform(range(1, len(lo) + 1), lambda i: CASE WHEN hi[i] >= lo[i] THEN hex(b[lo[i]:hi[i]]) ELSE '' END), ''))) AS kept_sha256
+        FROM ends""",
     "op9_secret_scan": _op9_sql(),
     "op1_url_markov": _op1_sql(),
     "op4_pivot_topk": """
