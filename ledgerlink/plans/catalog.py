@@ -339,11 +339,13 @@ def jn4_name_relevance_join(spark, sf):
 
 @query
 def jn5_claimed_anti_join(spark, sf):
-    """Open invoices claimed by groups of the full run and those left add up to all."""
-    m = _run(spark, sf).matches.where(F.col("match_type").isin("split_many_to_one", "batch_one_to_many"))
-    used = m.select(F.explode("line_items.invoice_id").alias("invoice_id")).distinct()
-    open_ = _i(spark, sf).where("status = 'open'").select("invoice_id")
-    return open_.join(used, "invoice_id", "left_anti").unionByName(used).agg(F.count("*").alias("open_invoices"))
+    """Pairs left for each merchant when every first part payment has claimed its invoice and the second part."""
+    k = F.regexp_extract("txn_id", r"TXN-(\d+)-1", 1)
+    first = _t(spark, sf).where((k != "") & (k.cast("bigint") % 16 == 2))
+    who = ["batch_id", "merchant_id"]
+    claim = lambda kind, item: first.select(*who, F.lit(kind).alias("kind"), item.alias("item"), (-F.col("amount_p")).alias("neg"), F.col("txn_date").alias("day"), F.col("txn_id").alias("id"))
+    claims = claim("i", F.concat(F.lit("INV-"), k)).unionByName(claim("t", F.concat(F.lit("TXN-"), k, F.lit("-2"))))
+    return full.available(_pairs(spark, sf), claims).groupBy("merchant_id").agg(F.count("*").alias("pairs"), F.countDistinct("invoice_id").alias("invoices"))
 
 
 @query
@@ -907,4 +909,16 @@ def stm2_stream_duplicates(spark, sf):
 
 @query
 def stm3_band_totals(spark, sf):
-    return live.band_totals(_feed(spark, sf)).select("batch_id", "band", "n")
+    """Running totals as a stream in update mode; the last update of each band counts."""
+    ws = Workspace(spark)
+    src, out = f"{ws.root}/decided", f"{ws.root}/totals"
+    _feed(spark, sf).repartition(6, "txn_id").write.parquet(src)
+    stream = spark.readStream.schema(spark.read.parquet(src).schema).option("maxFilesPerTrigger", 2).parquet(src)
+
+    def keep(df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    q = live.band_totals(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{ws.root}/totals-state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.read.parquet(out)
+    return got.groupBy("batch_id", "band").agg(F.max_by("n", "epoch").alias("n"))

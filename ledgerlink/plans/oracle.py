@@ -335,7 +335,9 @@ add("cal1_isotonic_calibration", _ISO, f"SELECT r.grp, r.n AS sample_size, {_mic
 
 # ---- invariants of the full run
 add("prj11_explanation_text", INV, "SELECT 1 AS within_limit, CAST(0 AS BIGINT) AS empty")
-add("jn5_claimed_anti_join", INV, "SELECT count(*) AS open_invoices FROM inv WHERE status = 'open'")
+add("jn5_claimed_anti_join", PAIRS + """,
+claim AS (SELECT k, merchant_id, (-amount_p, txn_date, txn_id) AS prio FROM txn WHERE k % 16 = 2 AND part = 1)""", """SELECT p.merchant_id, count(*) AS pairs, count(DISTINCT p.invoice_id) AS invoices FROM pairs p
+    WHERE NOT EXISTS (SELECT 1 FROM claim c WHERE c.merchant_id = p.merchant_id AND (p.invoice_id = 'INV-' || c.k OR p.txn_id = 'TXN-' || c.k || '-2') AND c.prio < (-p.amount_p, p.txn_date, p.txn_id)) GROUP BY p.merchant_id""")
 add("grp6_claim_settlement", INV, "SELECT 'txn' AS kind, CAST(0 AS BIGINT) AS shared UNION ALL SELECT 'invoice', CAST(0 AS BIGINT)")
 add("full_run_coverage", TXN, "SELECT count(*) AS transactions, CAST(0 AS BIGINT) AS invoices_placed_twice, CAST(0 AS BIGINT) AS rejects_without_reason FROM txn")
 add("prj16_audit_fan_out", INV, "SELECT 1 AS ids_are_unique, CAST(0 AS BIGINT) AS orphans")
