@@ -416,15 +416,13 @@ def sco10_second_pass_ranking(spark, sf):
 
 
 def _vector_pairs(spark, sf) -> DataFrame:
-    """Each vector of the lower half as a transaction with eight candidate vectors of the upper half."""
+    """The candidate pairs, with the vectors that the order key picks for both sides."""
     e = dt.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    half = e.agg(F.floor((F.max("vec_id") + 1) / 2).cast("bigint")).scalar()
-    b = F.lit("V")
-    tv = e.where(F.col("vec_id") < half).select(b.alias("batch_id"), F.col("vec_id").alias("txn_id"), "vector")
-    iv = e.where((F.col("vec_id") >= half) & (F.col("vec_id") < half * 2)).select(b.alias("batch_id"), F.col("vec_id").alias("invoice_id"), "vector")
-    pairs = tv.select("batch_id", "txn_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j")).select(
-        "batch_id", "txn_id", (half + (F.col("txn_id") * 7 + F.col("j") * 13) % half).alias("invoice_id")
-    ).distinct()
+    n = e.agg(F.count("*")).scalar()
+    pairs = _pairs(spark, sf).select("batch_id", "txn_id", "invoice_id")
+    picked = lambda rows, key: rows.withColumn("vec_id", F.col("k") % n).join(e, "vec_id").select("batch_id", key, "vector")
+    tv = picked(_t(spark, sf).select("batch_id", "txn_id", F.regexp_extract("txn_id", r"TXN-(\d+)-", 1).cast("bigint").alias("k")), "txn_id")
+    iv = picked(_i(spark, sf).select("batch_id", "invoice_id", F.col("row_idx").alias("k")), "invoice_id")
     return scoring.embedding_points(scoring.with_similarity(pairs, tv, iv))
 
 

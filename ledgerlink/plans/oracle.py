@@ -225,9 +225,10 @@ add("sco6_rule_resolution", RULED, f"SELECT txn_id, invoice_id, {_c('p1')} AS sc
 _PCT = "(CAST(abs(amount_p - net_p) AS DOUBLE) / net_p)"
 add("sco8_fuzzy_amount_points", PAIRS, f"SELECT txn_id, invoice_id, {_c(f'12.0 * exp(-0.5 * ({_PCT} / 0.10) * ({_PCT} / 0.10))')} AS points_c FROM pairs WHERE net_p <> 0 AND {_PCT} <= 0.30")
 add("sco9_fuzzy_date_points", PAIRS, f"SELECT txn_id, invoice_id, {_c('10.0 * exp(-0.5 * (gap / 15.0) * (gap / 15.0))')} AS points_c FROM pairs")
-_VEC = """h AS (SELECT CAST(floor((max(vec_id) + 1) / 2) AS BIGINT) AS half FROM embeddings),
-vp AS (SELECT DISTINCT t.vec_id AS txn_id, h.half + (t.vec_id * 7 + j * 13) % h.half AS invoice_id FROM embeddings t, h, range(8) r(j) WHERE t.vec_id < h.half),
-vs AS (SELECT txn_id, invoice_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim FROM vp JOIN embeddings a ON a.vec_id = txn_id JOIN embeddings b ON b.vec_id = invoice_id)"""
+_VEC = PAIRS + """,
+en AS (SELECT count(*) AS n FROM embeddings),
+vs AS (SELECT p.txn_id, p.invoice_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim
+       FROM pairs p JOIN embeddings a ON a.vec_id = p.tk % (SELECT n FROM en) JOIN embeddings b ON b.vec_id = p.row_idx % (SELECT n FROM en))"""
 add("sco11_vector_points", _VEC, f"SELECT txn_id, invoice_id, CASE WHEN sim >= 0.5 THEN {_c('20.0 * (sim - 0.5) / 0.5')} ELSE 0 END AS points_c FROM vs")
 add("sco13_comparison_signals", PAIRS + _SIG.format(src="pairs"), "SELECT txn_id, invoice_id, g_ref AS reference_number, g_exact AS amount_exact, g_tds AS amount_tds, g_gst AS amount_gst, g_strong AS name_strong, g_weak AS name_weak, g_close AS date_close, g_window AS date_window FROM sig")
 add("sco14_linkage_score", PAIRS + _SIG.format(src="pairs") + _FS, f"SELECT txn_id, invoice_id, {_c('fs')} AS fs_c FROM fs")
