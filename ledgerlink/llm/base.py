@@ -65,16 +65,16 @@ def worker_cache() -> dict:
 
 
 def keep_listed(docs: DataFrame, listed: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The rows of ``docs`` whose id and text are in ``listed`` (_id, _sha of ``text_sha``, _n rows), one row each.
+    """The rows of ``docs`` whose id and text are in ``listed`` (_corpus_id, _corpus_sha of ``text_sha``, _corpus_n rows), one row each.
 
     Only where a row repeats, a further pass over the repeated ones leaves one of them.
     """
-    tagged = docs.withColumn("_key", text_sha(F.col(text)))
-    rows = tagged.join(listed, tagged[doc_id].eqNullSafe(listed["_id"]) & (tagged["_key"] == listed["_sha"]))
-    once = rows.filter("_n = 1").select(docs.columns)
-    if listed.filter("_n > 1").isEmpty():
+    tagged = docs.withColumn("_corpus_key", text_sha(F.col(text)))
+    rows = tagged.join(listed, tagged[doc_id].eqNullSafe(listed["_corpus_id"]) & (tagged["_corpus_key"] == listed["_corpus_sha"]))
+    once = rows.filter("_corpus_n = 1").select(docs.columns)
+    if listed.filter("_corpus_n > 1").isEmpty():
         return once
-    return once.unionByName(rows.filter("_n > 1").dropDuplicates(["_id", "_sha"]).select(docs.columns))
+    return once.unionByName(rows.filter("_corpus_n > 1").dropDuplicates(["_corpus_id", "_corpus_sha"]).select(docs.columns))
 
 
 def text_sha(text: Column) -> Column:

@@ -71,7 +71,7 @@ def exact_groups(
 
 def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, all columns, one row for each text as ``exact_groups`` compares it."""
-    keep = exact_groups(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    keep = Workspace(docs.sparkSession).save(keep.groupBy("_id", "_sha").agg(F.count(F.lit(1)).alias("_n")), "keep")
-    lowered = docs.withColumn("_body", ascii_lower(F.col(text)))
-    return keep_listed(lowered, keep, doc_id, "_body").select(docs.columns)
+    keep = exact_groups(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias("_corpus_id"), F.col("text_sha256").alias("_corpus_sha"))
+    keep = Workspace(docs.sparkSession).save(keep.groupBy("_corpus_id", "_corpus_sha").agg(F.count(F.lit(1)).alias("_corpus_n")), "keep")
+    lowered = docs.withColumn("_corpus_body", ascii_lower(F.col(text)))
+    return keep_listed(lowered, keep, doc_id, "_corpus_body").select(docs.columns)
