@@ -6,8 +6,9 @@ for each language by how often that bit was right on the language's training row
 
 * Up to ``EXHAUSTIVE`` languages the code is exhaustive, every split of the languages once; for more, the best of
   several seeded random codes by its least distance between codewords.
-* The classifiers are fitted on at most about ``ROWS_PER_LANGUAGE`` rows of each language (chosen by a hash of the id) and at
-  most ``MAX_LANGUAGES`` languages, the most frequent; every document is judged over its whole text.
+* The classifiers are fitted on every language, on at most about ``ROWS_PER_LANGUAGE`` rows of each (chosen by a hash of the
+  id); with many languages on fewer rows of each, about ``FIT_ROWS`` in all, and always at least one.  Every document is
+  judged over its whole text.
 
 Defined cases: a text that is null or without a letter is ``und`` with score 0.  Rows without lang or id are not used for
 learning.  Without training rows everything is ``und``.  One learned language is always predicted.
@@ -28,11 +29,12 @@ from ledgerlink.llm.base import chunks, held_out, small_batches, utf8
 FOLDS, HELD = 5, 0
 SIZE = 2048
 ROWS_PER_LANGUAGE = 800
-MAX_LANGUAGES = 64
+FIT_ROWS = 64 * ROWS_PER_LANGUAGE
 EXHAUSTIVE = 5
 AMBIGUOUS = 0.2
 RUN_BYTES = 1 << 20
 GROUP = 256
+DRAWS = 200
 LETTER = re.compile(rb"[A-Za-z]")
 PRIMES = (2_654_435_761, 2_246_822_519, 3_266_489_917)
 
@@ -84,19 +86,31 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
         return np.array([[1 if lang == 0 or (b >> (lang - 1)) & 1 == 0 else -1 for b in range(1, bits + 1)] for lang in range(n)])
     rng = np.random.default_rng(seed)
     bits = int(np.ceil(10 * np.log2(n)))
-    draws = [rng.choice([-1, 1], (n, bits)) for _ in range(200)]
-    apart = lambda c: (bits - np.where(np.eye(n, dtype=bool), -bits, c @ c.T).max()) / 2
-    return max(draws, key=apart)
+    draws = (rng.choice([-1, 1], (n, bits)) for _ in range(DRAWS if n <= 256 else 8))
+    return max(draws, key=least_distance)
+
+
+def least_distance(code: np.ndarray, rows: int = 256) -> float:
+    """The least distance between two codewords, some rows at a time."""
+    c, most = code.astype(np.float32), -code.shape[1]
+    for at in range(0, len(c), rows):
+        alike = c[at : at + rows] @ c.T
+        alike[np.arange(len(alike)), np.arange(at, at + len(alike))] = -code.shape[1]
+        most = max(most, int(alike.max()))
+    return (code.shape[1] - most) / 2
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
     small_batches(docs.sparkSession)
     rows = docs.filter(F.col(lang).isNotNull() & ~held_out(F.col(doc_id), FOLDS, HELD))
-    sizes = rows.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    draw = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit("fit")), F.lit(1_000_000))
+    sizes = rows.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.min(draw).alias("least")).collect()
     if not sizes:
         return None
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(int(1_000_000 * min(1.0, ROWS_PER_LANGUAGE / r["count"]))))])
-    pick = rows.filter(F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit("fit")), F.lit(1_000_000)) < share[F.col(lang)])
+    most = min(ROWS_PER_LANGUAGE, FIT_ROWS / len(sizes))
+    shares = [(r["lang"], max(int(1_000_000 * min(1.0, most / r["n"])), r["least"] + 1)) for r in sizes]
+    share = docs.sparkSession.createDataFrame(shares, "_fit_lang string, _fit_share long")  # one row a language
+    pick = rows.join(F.broadcast(share), F.col(lang) == F.col("_fit_lang")).filter(draw < F.col("_fit_share"))
 
     def count(batches):
         for b in batches:
@@ -136,7 +150,7 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 120,
 def decide(model: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(language number, score, ambiguous) of each row: least weighted logistic loss over the bits."""
     margin = ((x - model.mean) / model.scale) @ model.coef + model.bias
-    loss = np.einsum("rlb,lb->rl", np.logaddexp(0, -margin[:, None, :] * model.code[None]), model.weigh)
+    loss = np.logaddexp(0, -margin) @ (model.weigh * (model.code > 0)).T + np.logaddexp(0, margin) @ (model.weigh * (model.code < 0)).T
     best = loss.argmin(axis=1)
     p = np.exp(-(loss - loss.min(axis=1, keepdims=True)))
     p /= p.sum(axis=1, keepdims=True)
