@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ledgerlink.llm.base import LOWER, UPPER, table
 from ledgerlink.llm.digests import encoding_digests, piece_digests
 from ledgerlink.llm.exact_dedup import exact_groups
 from ledgerlink.llm.packing import pack
+from ledgerlink.llm.periodic_runs import periodic_runs
 from ledgerlink.llm.simhash_dedup import near_groups
 from ledgerlink.llm.suffix_dedup import dedup
 from ledgerlink.llm.topk_search import search
@@ -63,6 +66,33 @@ def op10_language_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit(docs))
 
 
+def rotated(doc_id: object, words: list[bytes]) -> list[bytes]:
+    """Every tenth document repeats a part of itself to its end, by the crc32 of its id."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [*words[:a], *(words[a + i % p] for i in range(n - a))]
+
+
+def op11_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(table(spark, sf_dir, "documents"), prepare=rotated)
+    best = F.reduce("runs", F.element_at("runs", 1), lambda top, r: F.when(r["length"] > top["length"], r).otherwise(top))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", F.when(F.size("runs") > 0, best)).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_url_markov": op1_url_markov,
     "op2_suffix_radix": op2_suffix_radix,
@@ -74,6 +104,7 @@ QUERIES = {
     "op8_toxicity_pu": op8_toxicity_pu,
     "op9_secret_scan": op9_secret_scan,
     "op10_language_ecoc": op10_language_ecoc,
+    "op11_recompression": op11_recompression,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
