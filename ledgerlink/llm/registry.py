@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlink.llm import language_id, secret_scan, toxicity, url_filter
+from ledgerlink.llm import language_id, secret_scan, term_pipeline, toxicity, url_filter
 from ledgerlink.llm.base import LOWER, UPPER, table
 from ledgerlink.llm.digests import encoding_digests, piece_digests
 from ledgerlink.llm.exact_dedup import exact_groups
@@ -93,6 +93,10 @@ def op11_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_term_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_pipeline.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_url_markov": op1_url_markov,
     "op2_suffix_radix": op2_suffix_radix,
@@ -105,6 +109,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_language_ecoc": op10_language_ecoc,
     "op11_recompression": op11_recompression,
+    "op13_term_pipeline": op13_term_pipeline,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -177,7 +182,20 @@ def _op9_sql() -> str:
         FROM d LEFT JOIN spans USING (row) GROUP BY row"""
 
 
+_TERMS = f"list_transform(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: translate(x, '{UPPER}', '{LOWER}'))"
+
 ORACLE = {
+    "op13_term_pipeline": f"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS ts FROM documents),
+        s AS (SELECT count(*) AS docs, sum(len(ts))::BIGINT AS terms FROM d WHERE len(ts) > 0),
+        p AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(ts) AS n, unnest(ts) AS term FROM d) GROUP BY ALL),
+        i AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+        f AS (SELECT term, count(*) AS df FROM p SEMI JOIN i USING (term) GROUP BY term),
+        r AS (SELECT item_id, row, any_value(doc_id) AS doc_id,
+                     sum(times * floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT AS score
+              FROM i JOIN p USING (term) JOIN f USING (term) CROSS JOIN s GROUP BY item_id, row),
+        t AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM r WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM t WHERE rank <= 20""",
     "op2_suffix_radix": """
         WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS row, encode(coalesce(text, '')) AS b FROM documents),
         n AS (SELECT *, octet_length(b) AS n FROM d),
