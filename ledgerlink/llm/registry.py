@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlink.llm import language_id, secret_scan, term_pipeline, toxicity, url_filter
+from ledgerlink.llm import language_id, phrase_automata, secret_scan, term_pipeline, toxicity, url_filter
 from ledgerlink.llm.base import LOWER, UPPER, table
 from ledgerlink.llm.digests import encoding_digests, piece_digests
 from ledgerlink.llm.exact_dedup import exact_groups
@@ -93,6 +93,11 @@ def op11_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    length = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"])
+    return phrase_automata.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", length.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_term_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_pipeline.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -109,6 +114,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_language_ecoc": op10_language_ecoc,
     "op11_recompression": op11_recompression,
+    "op12_phrase_automata": op12_phrase_automata,
     "op13_term_pipeline": op13_term_pipeline,
 }
 
@@ -185,6 +191,14 @@ def _op9_sql() -> str:
 _TERMS = f"list_transform(regexp_extract_all(text, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: translate(x, '{UPPER}', '{LOWER}'))"
 
 ORACLE = {
+    "op12_phrase_automata": """
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(doc_id, 9223372036854775807) AS rank, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        w AS (SELECT row, rank, i, list_slice(ws, i, i + 12) AS x FROM (SELECT *, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13)),
+        hit AS (SELECT row, i FROM (SELECT *, min(rank) OVER (PARTITION BY x) AS low FROM w) WHERE low < rank),
+        gone AS (SELECT DISTINCT row, unnest(range(i, i + 13)) AS i FROM hit),
+        words AS (SELECT row, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d),
+        kept AS (SELECT row, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS body FROM words ANTI JOIN gone USING (row, i) GROUP BY row)
+        SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (row)""",
     "op13_term_pipeline": f"""
         WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS ts FROM documents),
         s AS (SELECT count(*) AS docs, sum(len(ts))::BIGINT AS terms FROM d WHERE len(ts) > 0),
