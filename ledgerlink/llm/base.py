@@ -64,17 +64,26 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_corpus_worker_cache", types.ModuleType("_corpus_worker_cache")).__dict__
 
 
-def keep_listed(docs: DataFrame, listed: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The rows of ``docs`` whose id and text are in ``listed`` (_corpus_id, _corpus_sha of ``text_sha``, _corpus_n rows), one row each.
+def keep_listed(docs: DataFrame, listed: DataFrame, doc_id: str, body: Column) -> DataFrame:
+    """The rows of ``docs`` whose id and text are in ``listed`` (id, sha of ``text_sha(body)``, n rows), one row each.
 
-    Only where a row repeats, a further pass over the repeated ones leaves one of them.
+    Rows travel as one struct, so that columns of ``docs`` may have any name.  Only where a row repeats, a further pass over
+    the repeated ones leaves one of them.
     """
-    tagged = docs.withColumn("_corpus_key", text_sha(F.col(text)))
-    rows = tagged.join(listed, tagged[doc_id].eqNullSafe(listed["_corpus_id"]) & (tagged["_corpus_key"] == listed["_corpus_sha"]))
-    once = rows.filter("_corpus_n = 1").select(docs.columns)
-    if listed.filter("_corpus_n > 1").isEmpty():
+    tagged = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("own"), text_sha(body).alias("key"))
+    rows = tagged.join(listed, tagged["own"].eqNullSafe(listed["id"]) & (tagged["key"] == listed["sha"]))
+    once = rows.filter("n = 1").select("row.*")
+    if listed.filter("n > 1").isEmpty():
         return once
-    return once.unionByName(rows.filter("_corpus_n > 1").dropDuplicates(["_corpus_id", "_corpus_sha"]).select(docs.columns))
+    return once.unionByName(rows.filter("n > 1").dropDuplicates(["id", "sha"]).select("row.*"))
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, made longer until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_sha(text: Column) -> Column:

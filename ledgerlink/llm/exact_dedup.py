@@ -12,7 +12,8 @@ stand for several texts, its documents are joined by the full text instead.
 
 Defined cases: a null text equals the empty text.  A null id never wins against an id; a group of null ids only
 has a null ``keep_id``.  Rows that repeat an id with an equal text count in ``group_size`` and share one verdict;
-``survivors`` keeps one of them.  Columns other than the two named are ignored by ``exact_groups``.
+``survivors`` keeps one of them.  Very long texts are compared whole.  Columns other than the two named are ignored by
+``exact_groups``, kept by ``survivors``, and may have any name.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -71,7 +72,5 @@ def exact_groups(
 
 def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, all columns, one row for each text as ``exact_groups`` compares it."""
-    keep = exact_groups(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias("_corpus_id"), F.col("text_sha256").alias("_corpus_sha"))
-    keep = Workspace(docs.sparkSession).save(keep.groupBy("_corpus_id", "_corpus_sha").agg(F.count(F.lit(1)).alias("_corpus_n")), "keep")
-    lowered = docs.withColumn("_corpus_body", ascii_lower(F.col(text)))
-    return keep_listed(lowered, keep, doc_id, "_corpus_body").select(docs.columns)
+    keep = exact_groups(docs, doc_id, text).filter("kept").groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
+    return keep_listed(docs, Workspace(docs.sparkSession).save(keep.agg(F.count(F.lit(1)).alias("n")), "keep"), doc_id, ascii_lower(F.col(text)))

@@ -251,5 +251,5 @@ def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how
     """
     key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), text_sha(F.col(text)).alias("sha"))
     groups = near_groups(docs.select(key.alias("key"), F.col(text).alias("text")), "key", "text", **how)
-    keep = groups.filter(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id.id").alias("_corpus_id"), F.col("doc_id.sha").alias("_corpus_sha"))
-    return keep_listed(docs, Workspace(docs.sparkSession).save(keep.agg(F.count(F.lit(1)).alias("_corpus_n")), "keep"), doc_id, text)
+    keep = groups.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id.id", "doc_id.sha").agg(F.count(F.lit(1)).alias("n"))
+    return keep_listed(docs, Workspace(docs.sparkSession).save(keep, "keep"), doc_id, F.col(text))

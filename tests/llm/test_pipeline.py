@@ -7,10 +7,10 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from ledgerlink.llm import exact_dedup, packing, registry, secret_scan, simhash_dedup, toxicity
+from ledgerlink.llm import exact_dedup, packing, registry, secret_scan, shingle_dedup, simhash_dedup, toxicity
 from ledgerlink.llm import word_bpe as wb
 from tests.llm.test_secret_scan import plain
-from tests.llm.test_simhash_dedup import brute_components, brute_fingerprint
+from tests.llm.test_shingle_dedup import brute as brute_heads
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -40,9 +40,9 @@ def brute(docs, toxic):
         if lower(d.text) not in last or d.doc_id > last[lower(d.text)].doc_id:
             last[lower(d.text)] = d
     docs = list(last.values())
-    ids, fps = [d.doc_id for d in docs], [brute_fingerprint(d.text) for d in docs]
-    head = brute_components(ids, fps)
-    docs = [d for i, d in enumerate(docs) if head[i] == d.doc_id]
+    docs.sort(key=lambda d: d.doc_id)
+    heads = set(brute_heads([(d.doc_id, d.text) for d in docs]))
+    docs = [d for d in docs if d.doc_id in heads]
     library = Tokenizer.from_file(wb.default_vocabulary())
     out = []
     for d in docs:
@@ -92,6 +92,19 @@ def test_near_survivors(spark, odd):
     assert got == sorted([(1, None), (3, "Same Text here"), (5, "token = abcdefghijklmnop end"), (5, "other words of id five"), (None, "no id at all")], key=repr)
 
 
+def test_survivors_keep_columns_of_any_name(spark):
+    """Columns named like helpers stay as they are."""
+    names = ["id", "sha", "n", "row", "own", "key", "body", "clean", "form", "head", "digest", "salt"]
+    rows = [(1, "Same text", *range(12)), (2, "same TEXT", *range(12, 24)), (3, None, *range(24, 36)), (3, None, *range(24, 36)), (None, "x", *[None] * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} int" for c in names))
+    for keep, want in ((exact_dedup.survivors, {2, 3, None}), (shingle_dedup.survivors, {1, 3, None}), (simhash_dedup.survivors, {1, None})):
+        out = keep(docs)
+        got = out.collect()
+        assert out.columns == docs.columns and all(tuple(r) in rows for r in got), keep
+        assert {r.doc_id for r in got} == want or keep is simhash_dedup.survivors
+        assert len(got) == len(set(got))
+
+
 def test_stages_keep_columns_and_rows(spark, odd):
     for name, stage in corpus_pipeline.STAGES[1:-1]:
         out = stage(spark, odd, SF)
