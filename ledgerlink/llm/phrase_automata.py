@@ -8,8 +8,8 @@ with a smaller id; windows are judged on the input.
    out of their texts, their windows are hashed, and of each hash the stretch with the smallest id owns it.  A text whose window is
    owned by a smaller id asks for the owner's stretch.
 2. Compile.  Texts are dealt to shards of about ``SHARD_WORDS`` words.  A shard gathers the stretches its texts asked for, each
-   once, and compiles their windows into Aho-Corasick automata over words (a word is one symbol of the automaton), with the owner's id
-   as output; an automaton holds at most ``AUTOMATON`` windows.
+   once, and compiles those of their windows whose hash some text of the shard has into Aho-Corasick automata over words (a word is
+   one symbol of the automaton), with the owner's id as output; an automaton holds at most ``AUTOMATON`` windows.
 3. Stream.  Every text runs through its shard's automata.  An occurrence of a window whose owner has a smaller id
    removes its words.
 
@@ -46,7 +46,7 @@ WIDTH, GRAM = 13, 4
 CHUNK = 8 << 20
 SHARD_WORDS = 400_000
 AUTOMATON = 1 << 16
-PHRASE_PART = 1 << 14
+STRETCH = 32  # windows of a stretch; a longer one is cut
 KNOWN = 1 << 20
 LAST = (1 << 63) - 1
 HIGH = np.uint64(0xFFFFFFFF00000000)
@@ -240,6 +240,9 @@ def cut_stretches(texts: DataFrame, width: int, gram: int) -> DataFrame:
                 new = np.ones(len(at), bool)
                 new[1:] = (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1])
                 head = np.flatnonzero(new)
+                n = np.diff(np.append(head, len(at)))
+                cut = -(-n // STRETCH)
+                head = np.repeat(head - STRETCH * (np.cumsum(cut) - cut), cut) + STRETCH * np.arange(int(cut.sum()))
                 start, of = at[head], text[head]
                 n = np.diff(np.append(head, len(at)))
                 k = np.arange(len(head)) - np.searchsorted(of, of)
@@ -288,7 +291,7 @@ def window_rows(stretches: DataFrame, width: int) -> DataFrame:
 
 
 class Automata:
-    """Aho-Corasick automata over words for the windows of phrases, with the smallest rank that holds each."""
+    """Aho-Corasick automata over words for windows, with the smallest rank that holds each."""
 
     def __init__(self, width: int):
         self.width, self.built = width, []
@@ -298,18 +301,15 @@ class Automata:
         self.symbols = Missing(lambda w: chr(n if (n := len(self.symbols) + 1) < 0xD800 else n + 0x800), True)
         self.windows: dict[str, int] = {}
 
-    def add(self, words: list[bytes], rank: int):
-        for a in range(0, max(len(words) - self.width + 1, 0), PHRASE_PART):
-            line = "".join(map(self.symbols.__getitem__, words[a : a + PHRASE_PART + self.width - 1]))
-            for i in range(len(line) - self.width + 1):
-                w = line[i : i + self.width]
-                known = self.windows.get(w)
-                if known is None or rank < known:
-                    self.windows[w] = rank
-            if len(self.windows) >= AUTOMATON:
-                self._compile()
-
-    def _compile(self):
+    def add(self, window: list[bytes], rank: int):
+        w = "".join(map(self.symbols.__getitem__, window))
+        known = self.windows.get(w)
+        if known is None or rank < known:
+            self.windows[w] = rank
+        if len(self.windows) >= AUTOMATON:
+            self.compile()
+
+    def compile(self):
         if self.windows:
             automaton = ahocorasick.Automaton()
             for w, rank in self.windows.items():
@@ -322,7 +322,6 @@ class Automata:
 
     def covered(self, words: list[bytes], rank: int) -> np.ndarray:
         """Which words lie in a window that a smaller rank holds."""
-        self._compile()
         change = np.zeros(len(words) + 1, np.int64)
         for symbols, automaton in self.built:
             ends = np.array([end for end, owner in automaton.iter("".join(map(symbols.__getitem__, words))) if owner < rank], np.int64)
@@ -331,6 +330,39 @@ class Automata:
         return np.cumsum(change[:-1]) > 0
 
 
+class Shard:
+    """The texts of a shard, read once for the hashes of their windows and once, when the phrases are known, by the automata."""
+
+    def __init__(self, width: int):
+        self.width, self.classes, self.texts, self.phrases = width, {}, {}, []
+
+    def automata(self) -> Automata:
+        hashes = [np.unique(Words(list(map(zstandard.decompress, part)), self.width).hashes()) for _, part in chunks(self.texts.values(), CHUNK >> 2)]
+        known = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+        out = Automata(self.width)
+        self.phrases.sort()
+        for first, part in chunks([p for _, p in self.phrases], CHUNK >> 2):
+            w = Words(list(map(zstandard.decompress, part)), self.width)
+            h = w.hashes()
+            if len(known):
+                hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
+                _, one = np.unique(h[hit], return_index=True)  # phrases come by rank, so the first of equal hashes has the smallest
+                for i in hit[one].tolist():
+                    a = w.at[i]
+                    out.add(w.words[a : a + self.width], self.phrases[first + w.text[i]][0])
+        out.compile()
+        return out
+
+    def judged(self):
+        """low, number of words, removed ranges, kept text and times of each text."""
+        automata = self.automata() if self.phrases else Automata(self.width)
+        for key, packed in self.texts.items():
+            rank, low, times = self.classes[key]
+            words = zstandard.decompress(packed).split()
+            gone = automata.covered(words, rank)
+            yield low, len(words), ranges(gone), b" ".join(w for w, x in zip(words, gone.tolist()) if not x), times
+
+
 def ranges(covered: np.ndarray) -> list[dict]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))).tolist()
     return [{"start": a, "stop": z} for a, z in zip(edge[::2], edge[1::2])]
@@ -342,38 +374,36 @@ RESULT = "doc_id long, n_words long, removed array<struct<start:long,stop:long>>
 def stream(dealt: DataFrame, width: int) -> DataFrame:
     """``RESULT`` and times of the texts of sorted rows (shard, kind, t1, t2, rank, low, times, body).
 
-    Of each shard come the phrases (kind 0, body) first, then the classes of its texts (1), then the texts (2, body).
+    Of each shard come the classes of its texts (kind 0) first, then the texts (1, body), then the phrases (2, body).
     """
     removed_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches):
-        shard, automata, classes = None, None, {}
+        number, shard = None, Shard(width)
         for b in batches:
-            out = [[], [], [], [], []]
-            size = 0
             small = [b.column(c).to_pylist() for c in range(7)]
             for i, (s, kind, t1, t2, rank, low, times) in enumerate(zip(*small)):
-                if s != shard:
-                    shard, automata, classes = s, Automata(width), {}
-                if kind == 1:
-                    classes[t1, t2] = rank, low, times
-                    continue
-                if kind == 2 and (t1, t2) not in classes:  # a copy from another task
-                    continue
-                words = zstandard.decompress(b.column(7)[i].as_py()).split()
+                if s != number:
+                    yield from records(shard)
+                    number, shard = s, Shard(width)
                 if kind == 0:
-                    automata.add(words, rank)
-                    continue
-                rank, low, times = classes.pop((t1, t2))
-                gone = automata.covered(words, rank)
-                kept = b" ".join(w for w, x in zip(words, gone.tolist()) if not x)
-                for column, value in zip(out, (low, len(words), ranges(gone), kept, times)):
-                    column.append(value)
-                size += len(kept)
-                if size > CHUNK:
-                    yield record(out)
-                    out, size = [[], [], [], [], []], 0
-            yield record(out)
+                    shard.classes[t1, t2] = rank, low, times
+                elif kind == 1:  # copies from other tasks are equal
+                    shard.texts.setdefault((t1, t2), b.column(7)[i].as_py())
+                else:
+                    shard.phrases.append((rank, b.column(7)[i].as_py()))
+        yield from records(shard)
+
+    def records(shard):
+        out, size = [[], [], [], [], []], 0
+        for row in shard.judged():
+            for column, value in zip(out, row):
+                column.append(value)
+            size += len(row[3])
+            if size > CHUNK:
+                yield record(out)
+                out, size = [[], [], [], [], []], 0
+        yield record(out)
 
     def record(out):
         kinds = (pa.int64(), pa.int64(), removed_type, pa.binary(), pa.int64())
@@ -416,9 +446,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
 
     key = {"t1": F.col("t1"), "t2": F.col("t2")}
     dealt = (
-        lay(0, phrases, F.col("shard"), rank=F.col("rank"), body=F.col("stretch"))
-        .unionByName(lay(1, classes, shard(F.col("t1")), **key, rank=F.col("rank"), low=F.col("low"), times=F.col("times")))
-        .unionByName(lay(2, texts, shard(F.col("t1")), **key, body=F.col("packed")))
+        lay(2, phrases, F.col("shard"), rank=F.col("rank"), body=F.col("stretch"))
+        .unionByName(lay(0, classes, shard(F.col("t1")), **key, rank=F.col("rank"), low=F.col("low"), times=F.col("times")))
+        .unionByName(lay(1, texts, shard(F.col("t1")), **key, body=F.col("packed")))
     )
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     judged = stream(dealt.repartition(n, "shard").sortWithinPartitions("shard", "kind", "t1", "t2"), width)

@@ -48,7 +48,7 @@ def test_dedup_equals_the_definition(spark, monkeypatch, seed, width, gram, chun
     monkeypatch.setattr(pa, "CHUNK", chunk)
     monkeypatch.setattr(pa, "SHARD_WORDS", shard)
     monkeypatch.setattr(pa, "AUTOMATON", automaton)
-    monkeypatch.setattr(pa, "PHRASE_PART", 16)
+    monkeypatch.setattr(pa, "STRETCH", 3 if seed == 2 else 32)
     rows = corpus(seed)
     docs = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id int, text string, rank int, t1 string").repartition(3)
     got = [(r.doc_id, r.n_words, sum(x.stop - x.start for x in r.removed), r.kept) for r in pa.dedup(docs, width=width, gram=gram).collect()]
@@ -69,7 +69,9 @@ def test_equal_hashes_remove_nothing(spark, monkeypatch):
 def test_automata_number_many_symbols():
     a = pa.Automata(2)
     words = [b"%d" % i for i in range(60_000)]
-    a.add(words, 7)
+    for i in range(len(words) - 1):
+        a.add(words[i : i + 2], 7)
+    a.compile()
     assert a.covered(words, 8).all() and not a.covered(words, 7).any()
     assert a.covered([b"x", b"59998", b"59999", b"x"], 9).tolist() == [False, True, True, False]
 
