@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 from datetime import date, timedelta
 from decimal import Decimal
 
@@ -137,6 +138,47 @@ def test_assignment_is_optimal_in_every_mode(spark, limit, safe):
     assert sum(round(s[g.txn_id, g.invoice_id] * 100) for g in got) == weight(rows)
 
 
+def test_ties_fall_alike_on_every_path(spark):
+    """Tied input: whole components, safe pairs first, and auction rounds in one or several groups choose the same pairs, and prove them."""
+    r = random.Random(2)
+    rows = [(f"t{a}", f"i{b}", r.choice([50, 50, 60]), r.random() < 0.1) for a in range(9) for b in range(7) if r.random() < 0.6]
+    rows += [(f"u{a}", f"v{b}", 50, False) for a in range(3) for b in range(2)]
+    chosen = []
+    for limit, safe in ((50_000, 2), (50_000, 0), (0, 2), (0, 0)):
+        s = asn.solve(Workspace(spark), edges_df(spark, rows), solve_limit=limit, safe_rounds=safe)
+        proof = asn.certificate(s).first()
+        assert (proof.repeated, proof.violated, proof.negative, proof.gap) == (0, 0, 0, 0) and proof.edges == len(rows)
+        chosen.append(sorted((p.txn_id, p.invoice_id) for p in s.pairs.collect()))
+    assert all(c == chosen[0] for c in chosen), chosen
+    ws = Workspace(spark)
+    many, _, _ = asn.auction(ws, asn.weighted(ws, edges_df(spark, rows)), shrink=64, bid_edges=8)
+    assert sorted((p.txn_id, p.invoice_id) for p in many.collect()) == chosen[0]
+
+
+def test_certificate_rejects_a_worse_assignment(spark):
+    rows = [("t1", "i1", 92.0, True), ("t1", "i2", 91.0, False), ("t2", "i1", 82.0, True), ("t2", "i2", 70.0, False)]
+    s = asn.solve(Workspace(spark), edges_df(spark, rows), safe_rounds=0)
+    worse = s.edges.where("txn_id = 't1' and invoice_id = 'i1' or txn_id = 't2' and invoice_id = 'i2'")
+    assert asn.certificate(asn.Solution(s.edges, worse, s.duals, s.scale)).first().gap > 0
+    assert asn.certificate(asn.Solution(s.edges, s.pairs, s.duals.limit(0), s.scale)).first().violated == 4
+    twice = s.edges.where("txn_id = 't1'")
+    assert asn.certificate(asn.Solution(s.edges, twice, s.duals, s.scale)).first().repeated == 1
+
+
+def test_large_component_with_few_scores_ends(spark):
+    """60,000 edges of one merchant with four scores, by auction rounds."""
+    r = random.Random(4)
+    rows = list({(f"t{a}", f"i{r.randrange(3000)}"): 0 for a in range(3000) for _ in range(20)})
+    edges = edges_df(spark, [(t, i, r.choice([40, 60, 60, 80]), False) for t, i in rows])
+    start = time.time()
+    s = asn.solve(Workspace(spark), edges, solve_limit=10_000, safe_rounds=0)
+    took = time.time() - start
+    proof = asn.certificate(s).first()
+    assert (proof.repeated, proof.violated, proof.negative, proof.gap) == (0, 0, 0, 0) and proof.pairs > 2900
+    assert took < 240, took
+    print("auction seconds", took)
+
+
 def test_auction_ends_when_equal_payments_want_equal_invoices(spark):
     rows = [(f"t{a}", f"i{b}", 50.0, False) for a in range(3) for b in range(2)]
     got = asn.assign(Workspace(spark), edges_df(spark, rows), solve_limit=0, safe_rounds=0).collect()
