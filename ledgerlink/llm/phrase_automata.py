@@ -8,8 +8,8 @@ with a smaller id; windows are judged on the input.
    out of their texts, their windows are hashed, and of each hash the stretch with the smallest id owns it.  A text whose window is
    owned by a smaller id asks for the owner's stretch.
 2. Compile.  Texts are dealt to shards of about ``SHARD_WORDS`` words.  A shard gathers the stretches its texts asked for, each
-   once, and compiles those of their windows whose hash some text of the shard has into Aho-Corasick automata over words (a word is
-   one symbol of the automaton), with the owner's id as output; an automaton holds at most ``AUTOMATON`` windows.
+   once, and compiles those of their windows whose hash some text of the shard has into Aho-Corasick automata over words, with the
+   owner's id as output; an automaton holds at most ``AUTOMATON`` windows.
 3. Stream.  Every text runs through its shard's automata.  An occurrence of a window whose owner has a smaller id
    removes its words.
 
@@ -46,30 +46,25 @@ WIDTH, GRAM = 13, 4
 CHUNK = 8 << 20
 SHARD_WORDS = 400_000
 AUTOMATON = 1 << 16
+DIGITS = 256
 STRETCH = 32  # windows of a stretch; a longer one is cut
 KNOWN = 1 << 20
 LAST = (1 << 63) - 1
 HIGH = np.uint64(0xFFFFFFFF00000000)
 
 
-class Missing(dict):
-    """A dictionary that makes the value of a missing key with ``make(key)`` and keeps it if ``keep``."""
+class Codes(dict):
+    """The 64-bit code of each word, made when it is first asked for."""
 
-    def __init__(self, make, keep):
-        super().__init__()
-        self.make, self.keep = make, keep
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = xxhash.xxh3_64_intdigest(word)
+        return code
 
-    def __missing__(self, key):
-        value = self.make(key)
-        if self.keep:
-            self[key] = value
-        return value
 
-
-def word_codes() -> Missing:
+def word_codes() -> Codes:
     cache = worker_cache()
     if len(cache.get("word_codes", ())) > KNOWN or "word_codes" not in cache:
-        cache["word_codes"] = Missing(xxhash.xxh3_64_intdigest, True)
+        cache["word_codes"] = Codes()
     return cache["word_codes"]
 
 
@@ -290,77 +285,93 @@ def window_rows(stretches: DataFrame, width: int) -> DataFrame:
 # ---------------------------------------------------------------- compile and stream
 
 
-class Automata:
-    """Aho-Corasick automata over words for windows, with the smallest rank that holds each."""
+class Automaton:
+    """An Aho-Corasick automaton over words for windows, with the smallest rank that holds each.
 
-    def __init__(self, width: int):
-        self.width, self.built = width, []
-        self._new()
+    A word is two symbols, a high and a low digit from alphabets of their own: windows are found at whole words only, and no node has
+    more than ``DIGITS`` children, which the automaton searches one by one.
+    """
+
+    OTHER = chr(3 * DIGITS) * 2
 
-    def _new(self):
-        self.symbols = Missing(lambda w: chr(n if (n := len(self.symbols) + 1) < 0xD800 else n + 0x800), True)
+    def __init__(self):
+        self.symbols: dict[str, str] = {}
         self.windows: dict[str, int] = {}
+        self.found = None
+
+    def full(self, width: int) -> bool:
+        return len(self.windows) >= AUTOMATON or len(self.symbols) + width > DIGITS * DIGITS
 
     def add(self, window: list[bytes], rank: int):
-        w = "".join(map(self.symbols.__getitem__, window))
-        known = self.windows.get(w)
+        line = ""
+        for w in window:
+            symbol = self.symbols.get(w)
+            if symbol is None:
+                n = len(self.symbols)
+                symbol = self.symbols[w] = chr(DIGITS + n // DIGITS) + chr(n % DIGITS)
+            line += symbol
+        known = self.windows.get(line)
         if known is None or rank < known:
-            self.windows[w] = rank
-        if len(self.windows) >= AUTOMATON:
-            self.compile()
-
-    def compile(self):
-        if self.windows:
-            automaton = ahocorasick.Automaton()
-            for w, rank in self.windows.items():
-                automaton.add_word(w, rank)
-            automaton.make_automaton()
-            symbols = Missing(lambda w: "\0", False)
-            symbols.update(self.symbols)
-            self.built.append((symbols, automaton))
-            self._new()
-
-    def covered(self, words: list[bytes], rank: int) -> np.ndarray:
-        """Which words lie in a window that a smaller rank holds."""
-        change = np.zeros(len(words) + 1, np.int64)
-        for symbols, automaton in self.built:
-            ends = np.array([end for end, owner in automaton.iter("".join(map(symbols.__getitem__, words))) if owner < rank], np.int64)
-            np.add.at(change, ends - self.width + 1, 1)
-            np.add.at(change, ends + 1, -1)
-        return np.cumsum(change[:-1]) > 0
+            self.windows[line] = rank
+
+    def compile(self) -> Automaton:
+        self.found = ahocorasick.Automaton()
+        for w, rank in self.windows.items():
+            self.found.add_word(w, rank)
+        self.found.make_automaton()
+        return self
+
+    def ends(self, words: list[bytes], rank: int) -> np.ndarray:
+        """The last words of the windows that a smaller rank holds."""
+        get, other = self.symbols.get, self.OTHER
+        line = "".join([get(w, other) for w in words])
+        return np.array([end >> 1 for end, owner in self.found.iter(line) if owner < rank], np.int64)
 
 
 class Shard:
-    """The texts of a shard, read once for the hashes of their windows and once, when the phrases are known, by the automata."""
+    """The texts of a shard, read once for the hashes of their windows and once, when the phrases are known, by each automaton."""
 
     def __init__(self, width: int):
         self.width, self.classes, self.texts, self.phrases = width, {}, {}, []
 
-    def automata(self) -> Automata:
+    def automata(self):
+        """One automaton at a time, over all windows of the phrases that the texts may hold."""
+        if not self.phrases:
+            return
         hashes = [np.unique(Words(list(map(zstandard.decompress, part)), self.width).hashes()) for _, part in chunks(self.texts.values(), CHUNK >> 2)]
-        known = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
-        out = Automata(self.width)
+        known = np.unique(np.concatenate(hashes))
+        if not len(known):
+            return
+        out = Automaton()
         self.phrases.sort()
         for first, part in chunks([p for _, p in self.phrases], CHUNK >> 2):
             w = Words(list(map(zstandard.decompress, part)), self.width)
             h = w.hashes()
-            if len(known):
-                hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
-                _, one = np.unique(h[hit], return_index=True)  # phrases come by rank, so the first of equal hashes has the smallest
-                for i in hit[one].tolist():
-                    a = w.at[i]
-                    out.add(w.words[a : a + self.width], self.phrases[first + w.text[i]][0])
-        out.compile()
-        return out
+            hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
+            _, one = np.unique(h[hit], return_index=True)  # phrases come by rank, so the first of equal hashes has the smallest
+            for i in hit[one].tolist():
+                a = w.at[i]
+                out.add(w.words[a : a + self.width], self.phrases[first + w.text[i]][0])
+                if out.full(self.width):
+                    yield out.compile()
+                    out = Automaton()
+        if out.windows:
+            yield out.compile()
 
     def judged(self):
         """low, number of words, removed ranges, kept text and times of each text."""
-        automata = self.automata() if self.phrases else Automata(self.width)
-        for key, packed in self.texts.items():
-            rank, low, times = self.classes[key]
-            words = zstandard.decompress(packed).split()
-            gone = automata.covered(words, rank)
-            yield low, len(words), ranges(gone), b" ".join(w for w, x in zip(words, gone.tolist()) if not x), times
+        words = {key: zstandard.decompress(packed).split() for key, packed in self.texts.items()}
+        change = {key: np.zeros(len(w) + 1, np.int64) for key, w in words.items()}
+        for automaton in self.automata():
+            for key, w in words.items():
+                ends = automaton.ends(w, self.classes[key][0])
+                np.add.at(change[key], ends - self.width + 1, 1)
+                np.add.at(change[key], ends + 1, -1)
+        for key, w in words.items():
+            _, low, times = self.classes[key]
+            gone = np.cumsum(change[key][:-1]) > 0
+            kept = b" ".join(w if not gone.any() else [x for x, g in zip(w, gone.tolist()) if not g])
+            yield low, len(w), ranges(gone), kept, times
 
 
 def ranges(covered: np.ndarray) -> list[dict]:

@@ -66,14 +66,15 @@ def test_equal_hashes_remove_nothing(spark, monkeypatch):
     assert got.keys() == want.keys() and all(got[i] <= want[i] for i in want) and 0 < sum(got.values()) <= sum(want.values())
 
 
-def test_automata_number_many_symbols():
-    a = pa.Automata(2)
-    words = [b"%d" % i for i in range(60_000)]
+def test_automaton_numbers_many_words():
+    a = pa.Automaton()
+    words = [b"%d" % i for i in range(pa.DIGITS**2)]
     for i in range(len(words) - 1):
+        assert not a.full(2) or i == len(words) - 2
         a.add(words[i : i + 2], 7)
     a.compile()
-    assert a.covered(words, 8).all() and not a.covered(words, 7).any()
-    assert a.covered([b"x", b"59998", b"59999", b"x"], 9).tolist() == [False, True, True, False]
+    assert a.ends(words, 8).tolist() == list(range(1, len(words))) and not len(a.ends(words, 7))
+    assert a.ends([b"x", b"59998", b"59999", b"x"], 9).tolist() == [2]
 
 
 def test_empty_table(spark):
