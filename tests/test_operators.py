@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import plain_text as plain
 from run_checker import Checker, Pair, best_assignment_weight, best_subset, consistent
 from builders import inv, invs_df, txn, txns_df
+from ledgerlink.plans import reconcile as rc
 from ledgerlink.operators import assignment as asn, candidates as cand, decide, duplicates as dup, groups, linkage, scoring, tax
 from ledgerlink.params import DEFAULT
 from ledgerlink.session import Workspace
@@ -118,6 +119,74 @@ def test_partial_pick(spark):
     assert df.select(groups.partial_pick().alias("x")).first().x.id == "a"
 
 
+def test_name_index_loses_no_pair(spark):
+    """Names and texts close to the bound, of many lengths, against all pairs; and what the index looks at instead."""
+    r = random.Random(12)
+    words = ["SHARMA", "TRADING", "TRADNG", "LTD", "CO", "KAPOOR", "KAPUR", "LOGISTICS", "A", "AB", "PAYMENT", "NEFT", "É", "GROUP", "GRP", "VERMA", "SONS", "&", "SHARMATRADING"]
+    pick = lambda n: " ".join(r.choice(words) for _ in range(n))
+    blur = lambda s: "".join(c for c in s if r.random() > 0.12)
+    names = sorted({pick(r.randint(1, 4)) for _ in range(60)})
+    texts = sorted({t for n in names for t in (n, blur(n), pick(1) + " " + blur(n), pick(r.randint(1, 6)))} | {"X", "AB", ""})
+    t = [txn(f"T{k}", "2026-01-05", 10, x, merchant="M") for k, x in enumerate(texts)]
+    i = [inv(f"I{k}", "2026-01-05", n, 10, merchant="M") for k, n in enumerate(names)]
+    tv, iv = cand.txn_view(txns_df(spark, t)), cand.invoice_view(invs_df(spark, i))
+    got = {(x.cp, x.narr) for x in groups.relevant_names(tv, iv, tile_rows=25).collect()}
+    seen = {(x["cp"], x["narr"]) for x in iv.select("cp").crossJoin(tv.where("trim(narr) <> '' and size(ids) = 0").select("narr")).collect()}
+    assert got == {(n, x) for n, x in seen if consistent(x, n)}
+    asked = groups.relevance_candidates(tv, iv).where("via = 'words'").select("cp", "narr").distinct().count()
+    assert 0 < asked < len(seen) / 2
+
+
+def random_claims(r, n, cells=2):
+    """Credits with priorities, some claimed by others."""
+    return [(f"M{r.randrange(cells)}", f"T{k}", -r.choice([100, 100, 250, 400, r.randrange(1000)]), date(2026, 1, r.randint(1, 9))) for k in range(n)]
+
+
+def test_claims_are_counted_as_of_a_priority(spark):
+    r = random.Random(6)
+    asking, claims = random_claims(r, 80), random_claims(r, 70)
+    claims += asking[:10]  # equal priorities do not count
+    schema = "key string, id string, neg bigint, day date"
+    got = rc.counted_before(spark.createDataFrame(asking + asking[:5], schema), spark.createDataFrame(claims, schema), ["key"], "n").collect()
+    want = {(k, i): sum(c[0] == k and (c[2], c[3], c[1]) < (neg, day, i) for c in claims) for k, i, neg, day in asking}
+    assert {(x.key, x.id): x.n for x in got} == want and len(got) == len(want)
+
+
+def test_last_free_holds_every_small_pool(spark):
+    """As of any priority, a pool of at most ``cap`` free credits lies within the offered rows."""
+    r = random.Random(8)
+    rows = [(k, i, None if r.random() < 0.1 else (neg, day, "c" + i)) for k, i, neg, day in random_claims(r, 90)]
+    df = spark.createDataFrame(rows, "key string, txn_id string, _ct struct<neg:bigint,day:date,id:string>")
+    offered = {(x.key, x.txn_id) for x in rc.last_free(df, ["key"], 12).collect()}
+    small = 0
+    for me in random_claims(r, 60):
+        pool = {(k, i) for k, i, c in rows if k == me[0] and (c is None or c >= (me[2], me[3], me[1]))}
+        if len(pool) <= 12:
+            small += 1
+            assert pool <= offered
+    assert small > 10 and all(sum(k == c for c, _ in offered) <= 12 for k in ("M0", "M1"))
+
+
+def test_split_pools_grow_with_the_input(spark):
+    """One merchant, one name, nearly all credits claimed: twice the credits, twice the rows, not four times."""
+    sizes = []
+    for n in (1_000, 2_000):
+        t = [txn(f"T{k:05d}", "2026-01-05", 100 + k % 37, "NEFT ACME BOLTS", merchant="M") for k in range(n)]
+        tv, iv = cand.txn_view(txns_df(spark, t)), cand.invoice_view(invs_df(spark, [inv("INV-1", "2026-01-04", "Acme Bolts", 500, merchant="M")]))
+        ws = Workspace(spark)
+        pools = rc.build_pools(ws, tv, iv, DEFAULT)
+        sized = rc.with_pool_size(iv, pools).select("n_pool", "n_credits", "invoice_date", "row_idx", "net_p", "cp", F.col("invoice_id"), F.col("invoice_id").alias("inv_u"), "merchant_id", "batch_id")
+        base = tv.select("batch_id", "merchant_id", "txn_id", "amount_p", "txn_date").join(sized, ["batch_id", "merchant_id"]).withColumn("gap", F.lit(1)).withColumn("rel", F.lit(True))
+        # All but ten credits are claimed, each by itself.
+        ct = tv.where(F.col("txn_id") >= "T00010").select("batch_id", "merchant_id", "txn_id", F.struct((-F.col("amount_p")).alias("neg"), F.col("txn_date").alias("day"), F.col("txn_id").alias("id")).alias("_ct"))
+        left = ws.save(rc.pool_modes(base, pools, ct, 16), "left")
+        members = ws.save(rc.pool_members(left, pools, ct, 16), "members")
+        assert left.count() == n and left.where("mode = 'own'").count() >= 6
+        assert members.groupBy("txn_id").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] <= 16
+        sizes.append(rc.last_free(pools.credits.join(ct, ["batch_id", "merchant_id", "txn_id"], "left"), ["batch_id", "merchant_id"], 16).count() + members.count())
+    assert sizes[1] <= 2 * sizes[0] + 32, sizes
+
+
 def edges_df(spark, rows):
     return spark.createDataFrame([("B", "M", t, i, float(s), k) for t, i, s, k in rows], "batch_id string, merchant_id string, txn_id string, invoice_id string, score double, keep boolean")
 
