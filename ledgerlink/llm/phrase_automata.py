@@ -126,6 +126,12 @@ def firsts(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
+def grouped(key: np.ndarray, rows: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """Sorted keys and the rows of each."""
+    head = np.flatnonzero(firsts(key)) if len(key) else np.zeros(0, np.int64)
+    return key[head].tolist(), np.split(rows, head[1:]) if len(head) else []
+
+
 # ---------------------------------------------------------------- texts and their classes
 
 
@@ -203,8 +209,10 @@ def anchor_rows(texts: DataFrame, width: int, gram: int) -> DataFrame:
                     seen.clear()
                 w = Words([texts[i] for i in fresh.values()], width)
                 g = w.anchors(gram)
-                by = np.lexsort((w.text, g))
-                g, text = g[by], w.text[by]
+                one = firsts(g, w.text)
+                g, text = g[one], w.text[one]
+                by = np.lexsort((text, g))
+                g, text = g[by], text[by]
                 one = firsts(g, text)
                 g, text = g[one], text[one]
                 head = firsts(g)
@@ -230,7 +238,9 @@ def cut_stretches(texts: DataFrame, width: int, gram: int) -> DataFrame:
                 spread = lambda g, i: mix(g + i * np.uint64(0x9E3779B97F4A7C15))
                 asked = spread(lists.flatten().to_numpy().view(np.uint64), of)
                 w = Words(texts, width)
-                hit = np.isin(spread(w.anchors(gram), w.text.astype(np.uint64)), asked)
+                g = w.anchors(gram)
+                head = firsts(g, w.text)  # neighbouring windows mostly share their anchor
+                hit = np.isin(spread(g[head], w.text[head].astype(np.uint64)), asked)[np.cumsum(head) - 1]
                 at, text = w.at[hit], w.text[hit]
                 new = np.ones(len(at), bool)
                 new[1:] = (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1])
@@ -299,20 +309,27 @@ class Automaton:
         self.windows: dict[str, int] = {}
         self.found = None
 
-    def full(self, width: int) -> bool:
-        return len(self.windows) >= AUTOMATON or len(self.symbols) + width > DIGITS * DIGITS
+    def full(self, words: int) -> bool:
+        """Whether a phrase of so many words may not fit."""
+        return bool(self.windows) and (len(self.windows) + words > AUTOMATON or len(self.symbols) + words > DIGITS * DIGITS)
 
-    def add(self, window: list[bytes], rank: int):
-        line = ""
-        for w in window:
-            symbol = self.symbols.get(w)
+    def line(self, words: list[bytes]) -> str:
+        symbols, out = self.symbols, []
+        for w in words:
+            symbol = symbols.get(w)
             if symbol is None:
-                n = len(self.symbols)
-                symbol = self.symbols[w] = chr(DIGITS + n // DIGITS) + chr(n % DIGITS)
-            line += symbol
-        known = self.windows.get(line)
-        if known is None or rank < known:
-            self.windows[line] = rank
+                n = len(symbols)
+                symbol = symbols[w] = chr(DIGITS + n // DIGITS) + chr(n % DIGITS)
+            out.append(symbol)
+        return "".join(out)
+
+    def add(self, words: list[bytes], starts: list[int], width: int, rank: int):
+        """The windows at ``starts`` of a phrase."""
+        line = self.line(words)
+        for a in starts:
+            w = line[2 * a : 2 * (a + width)]
+            if rank < self.windows.get(w, rank + 1):
+                self.windows[w] = rank
 
     def compile(self) -> Automaton:
         self.found = ahocorasick.Automaton()
@@ -338,26 +355,41 @@ class Shard:
         """One automaton at a time, over all windows of the phrases that the texts may hold."""
         if not self.phrases:
             return
-        hashes = [np.unique(Words(list(map(zstandard.decompress, part)), self.width).hashes()) for _, part in chunks(self.texts.values(), CHUNK >> 2)]
-        known = np.unique(np.concatenate(hashes))
-        if not len(known):
-            return
+        known, rank = self.asked()
         out = Automaton()
         self.phrases.sort()
         for first, part in chunks([p for _, p in self.phrases], CHUNK >> 2):
             w = Words(list(map(zstandard.decompress, part)), self.width)
+            of = np.array([r for r, _ in self.phrases[first : first + len(part)]], np.int64)[w.text]
             h = w.hashes()
-            hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
-            _, one = np.unique(h[hit], return_index=True)  # phrases come by rank, so the first of equal hashes has the smallest
-            for i in hit[one].tolist():
-                a = w.at[i]
-                out.add(w.words[a : a + self.width], self.phrases[first + w.text[i]][0])
-                if out.full(self.width):
+            place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit = np.flatnonzero((known[place] == h) & (of < rank[place])) if len(known) else np.zeros(0, np.int64)
+            by = hit[np.argsort(h[hit], kind="stable")]  # phrases come by rank, so the first of equal hashes has the smallest
+            hit = np.sort(by[firsts(h[by])])
+            ends = np.append(w.begin[1:], len(w.words))
+            for k, at in zip(*grouped(w.text[hit], w.at[hit])):
+                begin, end = int(w.begin[k]), int(ends[k])
+                if out.full(end - begin):
                     yield out.compile()
                     out = Automaton()
+                out.add(w.words[begin:end], (at - begin).tolist(), self.width, self.phrases[first + k][0])
         if out.windows:
             yield out.compile()
 
+    def asked(self) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted hashes of the texts' windows, and the largest rank of a text that has each."""
+        hashes, ranks = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        keys = list(self.texts)
+        for first, part in chunks(self.texts.values(), CHUNK >> 2):
+            w = Words(list(map(zstandard.decompress, part)), self.width)
+            rank = np.array([self.classes[k][0] for k in keys[first : first + len(part)]], np.int64)
+            hashes.append(w.hashes())
+            ranks.append(rank[w.text])
+        h, rank = np.concatenate(hashes), np.concatenate(ranks)
+        by = np.lexsort((-rank, h))
+        one = by[firsts(h[by])]
+        return h[one], rank[one]
+
     def judged(self):
         """low, number of words, removed ranges, kept text and times of each text."""
         words = {key: zstandard.decompress(packed).split() for key, packed in self.texts.items()}
