@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ledgerlink.functions import scalars as fx
 from ledgerlink.operators import (
-    adjudicate, calibrate, candidates as cand, decide, duplicates as dup, evaluate, fingerprints, forensics, groups,
+    adjudicate, assignment, calibrate, candidates as cand, decide, duplicates as dup, evaluate, fingerprints, forensics, groups,
     linkage, report, review, scoring, tax,
 )
 from ledgerlink.params import DEFAULT
@@ -544,6 +544,18 @@ def asn1_asn2_assignment(spark, sf):
     return _ids(m).select("txn_id", "invoice_id", cents(F.col("confidence_score")).alias("score_c"), "confidence_band", "exception_reason_category")
 
 
+@query
+def asn1_certificate(spark, sf):
+    """The assignment over all pairs that may be assigned, and the prices that prove no other is heavier."""
+    p = scoring.fuzzy_points(_ruled(spark, sf)).withColumn("sim", F.lit(None).cast("double")).withColumn("s_vec", F.lit(None).cast("double"))
+    ranked = scoring.rank_pairs(p, DEFAULT.with_(enable_embedding=False))
+    edges = ranked.select("batch_id", "merchant_id", "txn_id", "invoice_id", "score", (F.col("rank") == 1).alias("keep"))
+    s = assignment.solve(Workspace(spark), edges)
+    ends = s.edges.agg(F.countDistinct("merchant_id", "txn_id").alias("txns"), F.countDistinct("merchant_id", "invoice_id").alias("invoices"))
+    proof = assignment.certificate(s).drop("pairs")
+    return proof.withColumn("one", F.lit(1)).join(ends.withColumn("one", F.lit(1)), "one").drop("one")
+
+
 @query
 def full_run_matches(spark, sf):
     m = _run(spark, sf).matches
