@@ -12,17 +12,21 @@ gives it a k-th best score; then all further rings whose bound reaches that scor
 it, all are visited, so the result is exact for any data.
 
 Queries meet rings in tiles of at most about ``TILE_ROWS`` rows and ``TILE_QUERIES`` queries; a ring with very many rows (one vector
-that makes up a third of all) is cut into parts by the hash of its ids.
+that makes up a third of all) is cut into parts by the hash of its rows' numbers.  Rows go only to the blocks of queries that visit their ring.
+The number of pivots grows with the square root of the rows, up to the sample's size.
 
-Components are floor(1024 x) and limited to 32 bits.  Scores are exact integers.
+Components are floor(1024 x) whatever their size, and scores are exact integers; a score that leaves 64 bits raises.
 
 Defined cases: rows whose id or vector is null, or whose vector holds null or non-finite components, take no part.
 Shorter vectors count as filled up with zeros.  A query's own id is no candidate, in no row.  A query row that
-repeats has one result.
+repeats has one result; a candidate row that repeats is ranked as often as it occurs.  Equal scores go by the smaller id.  Other columns
+are ignored and may have any name.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -35,12 +39,13 @@ SAMPLE = 4_096
 PIVOTS = 64
 RINGS = 8
 FIRST = 256
-TILE_ROWS = 1_024
-TILE_QUERIES = 512
+TILE_ROWS = 4_096
+TILE_QUERIES = 4_096
+MEET_QUERIES = 256  # queries of a tile that are scored at once
 
 
 def prepare(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """vec_id, x (packed 32-bit components), dim of the rows that take part."""
+    """vec_id, x (packed components), dim of the rows that take part."""
     e = F.transform(F.col(embedding), lambda v: v.cast("double"))
     finite = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), e.alias("e")).filter(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & finite)
@@ -48,17 +53,28 @@ def prepare(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     def run(batches):
         for b in batches:
             flat, ends = b.column(1).values.to_numpy(zero_copy_only=False), b.column(1).offsets.to_numpy()
-            x = np.clip(np.floor(flat * SCALE), -(2**31), 2**31 - 1).astype("<i4")
-            packed = [x[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:])]
+            with np.errstate(over="ignore"):
+                x = np.floor(flat * SCALE)
+            packed = [pack(x[a:z]) for a, z in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), pa.array(np.diff(ends).astype(np.int32))], ["vec_id", "x", "dim"])
 
     return rows.mapInArrow(run, "vec_id long, x binary, dim int")
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers as 32-bit integers where they fit, else as doubles, which hold them exactly."""
+    if len(x) and np.abs(x).max() >= 2**31:
+        if not np.isfinite(x).all():
+            raise OverflowError("a component leaves the range of doubles")
+        return b"\1" + x.astype("<f8").tobytes()
+    return b"\0" + x.astype("<i4").tobytes()
+
+
 def matrix(packed: list[bytes], dim: int) -> np.ndarray:
     out = np.zeros((len(packed), dim))
     for i, p in enumerate(packed):
-        out[i, : len(p) // 4] = np.frombuffer(p, "<i4")
+        x = np.frombuffer(p, "<f8" if p[0] else "<i4", offset=1)
+        out[i, : len(x)] = x
     return out
 
 
@@ -81,12 +97,15 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact integer inner products: in doubles while no sum can leave their 53 bits."""
     if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(q.shape[1], 1) < 2**53:
         return (q @ x.T).astype(np.int64)
-    exact = q.astype(np.int64).astype(object) @ x.astype(np.int64).astype(object).T
-    return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
+    whole = lambda m: np.array([[int(v) for v in r] for r in m], object).reshape(m.shape)
+    exact = whole(q) @ whole(x).T
+    if exact.size and max(abs(exact.max()), abs(exact.min())) >= 2**63:
+        raise OverflowError("a score leaves 64 bits")
+    return exact.astype(np.int64)
 
 
 class Rings:
-    """What is known of each (pivot, ring): at most PIVOTS * RINGS rows."""
+    """What is known of each (pivot, ring): at most SAMPLE * RINGS rows."""
 
     def __init__(self, pivots: np.ndarray, rows: list):
         self.pivots = pivots
@@ -107,7 +126,8 @@ class Rings:
         triangle = (q2 + self.norm2 - gap**2) / 2
         cauchy = (q @ self.pivots.T)[:, pivot] + np.sqrt(q2) * self.far
         best = np.minimum(triangle, cauchy)
-        return best + 1 + 1e-9 * np.abs(triangle)  # more than what rounding can take off
+        size = q2 + self.norm2 + (self.pivots * self.pivots).sum(axis=1)[pivot]
+        return best + 1 + 1e-9 * size  # more than what rounding can take off
 
     def visits(self, q: np.ndarray, least: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """(query, ring index) to visit: the leading rings if ``least`` is None, else the others that may reach it."""
@@ -125,11 +145,11 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec
     spark = vectors.sparkSession
     ws = Workspace(spark)
     rows = ws.save(prepare(vectors, vec_id, embedding), "vectors")
-    dim = rows.agg(F.max("dim")).first()[0]
+    dim, n_rows = rows.agg(F.max("dim"), F.count(F.lit(1))).first()
     if dim is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     sample = [r["x"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
-    pivots = pick_pivots(matrix(sample, dim), PIVOTS)
+    pivots = pick_pivots(matrix(sample, dim), max(PIVOTS, math.isqrt(n_rows) // 8))
 
     def nearest(batches):
         for b in batches:
@@ -143,16 +163,14 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec
     keyed = ws.save(rows.select("vec_id", "x").mapInArrow(nearest, "vec_id long, x binary, pivot long, distance double, norm2 double"), "keyed")
     width = (keyed.agg(F.max("distance")).first()[0] or 0.0) / RINGS + 1e-9
     ring = F.col("pivot") * RINGS + F.least(F.floor(F.col("distance") / width), F.lit(RINGS - 1))
-    keyed = keyed.withColumn("ring", ring)
+    keyed = keyed.withColumn("ring", ring).withColumn("row", F.monotonically_increasing_id())
     known = keyed.groupBy("ring").agg(F.min("distance").alias("near"), F.max("distance").alias("far"), F.max("norm2").alias("norm2"), F.count(F.lit(1)).alias("n")).collect()
     rings = Rings(pivots, known)
 
     queries = ws.save(rows.filter(F.col("vec_id") % every == 0).select("vec_id", "x").distinct().withColumn("q", F.monotonically_increasing_id()), "queries")
     blocks = max(1, -(-queries.count() // TILE_QUERIES))
-    parts = np.ones(PIVOTS * RINGS, np.int64)
-    parts[rings.ring] = rings.parts
-    part = F.pmod(F.xxhash64("vec_id"), F.element_at(F.array(*[F.lit(int(p)) for p in parts]), (F.col("ring") + 1).cast("int")))
-    data = keyed.select("ring", part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("vec_id").alias("id"), "x")
+    parts = spark.createDataFrame(list(zip(rings.ring.tolist(), rings.parts.tolist())), "ring long, parts long")  # one row a ring
+    placed = keyed.join(parts, "ring").select("ring", F.pmod(F.xxhash64("row"), "parts").alias("part"), F.col("vec_id").alias("id"), "x")
 
     def route(first: bool):
         def run(batches):
@@ -173,13 +191,31 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec
 
         return run
 
+    def visited(first: bool):
+        """(ring, block) of each visit of a batch."""
+
+        def run(batches):
+            for b in batches:
+                number, q = b.column(0).to_numpy(), matrix(b.column(2).to_pylist(), dim)
+                least = None if first else b.column(3).to_numpy(zero_copy_only=False).astype(float)
+                for a in range(0, len(q), 256):
+                    row, at = rings.visits(q[a : a + 256], None if first else least[a : a + 256])
+                    pair = np.unique(np.stack([rings.ring[at], number[row + a] % blocks]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[0].astype(np.int64)), pa.array(pair[1].astype(np.int32))], ["ring", "block"])
+
+        return run
+
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["q", "query_id", "vec_id", "score"]
+        empty = pa.table([pa.array([], pa.int64())] * 4, names)
         if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 4, names)
+            return empty
         ids = right.column("id").to_numpy()
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], matrix([p for p in right.column("x").to_pylist()], dim)[order]
+        return pa.concat_tables([empty, *(scored(left.slice(a, MEET_QUERIES), ids, x, names) for a in range(0, left.num_rows, MEET_QUERIES))])
+
+    def scored(left: pa.Table, ids: np.ndarray, x: np.ndarray, names: list[str]) -> pa.Table:
         number, own, least = (left.column(c).to_numpy() for c in ("q", "vec_id", "least"))
         score = products(matrix(left.column("x").to_pylist(), dim), x)
         fits = (ids[None] != own[:, None]) & (score >= least[:, None])
@@ -198,6 +234,8 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, vec_id: str = "vec
     def visit(asked: DataFrame, first: bool) -> DataFrame:
         routed = asked.mapInArrow(route(first), "ring long, part long, block int, q long, vec_id long, x binary, least long")
         tile = ["ring", "part", "block"]
+        blocks_of = asked.mapInArrow(visited(first), "ring long, block int").distinct()
+        data = placed.join(blocks_of, "ring").select("ring", "part", "block", "id", "x")
         return routed.groupBy(*tile).cogroup(data.groupBy(*tile)).applyInArrow(meet, "q long, query_id long, vec_id long, score long")
 
     none = F.lit(-(2**63)).cast("long")

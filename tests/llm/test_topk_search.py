@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from ledgerlink.llm import topk_search as ts
 
@@ -46,6 +47,26 @@ def test_search_equals_brute_force(spark, monkeypatch):
 
 
 
+def test_large_components_keep_their_exact_scores(spark):
+    rows = [(0, [2.2e6, 1.0]), (1, [3e6, 0.0]), (2, [3.5e6, 0.0]), (3, [3.5e6, 0.25]), (100, [-2.5e6, 700.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, ts.search(df).collect())) == brute_double(rows, 100, 10)
+    huge = spark.createDataFrame([(0, [1e9]), (1, [1e9])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        ts.search(huge).collect()
+
+
+def brute_double(rows, every, k):
+    good = [(i, [math.floor(1024 * x) for x in e]) for i, e in rows]
+    return sorted((q, r + 1, i, -s) for q, e in good if q % every == 0 for r, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(e, f)), i) for i, f in good if i != q)[:k]))
+
+
+def test_one_id_on_a_third_of_all_rows_is_split(spark, monkeypatch):
+    monkeypatch.setattr(ts, "TILE_ROWS", 8)
+    rows = [(7 if i % 3 == 0 else i, [float(i % 5), 1.0], 0, "") for i in range(240)]
+    assert sorted(map(tuple, ts.search(spark.createDataFrame(rows, SCHEMA), every=10, k=4).collect())) == brute(rows, 10, 4)
+
+
 def test_fewer_rows_than_k(spark):
     rows = [(i, [1.0 * i, -1.0], 0, "") for i in range(4)]
     assert sorted(map(tuple, ts.search(spark.createDataFrame(rows, SCHEMA), every=2, k=10).collect())) == brute(rows, 2, 10)
