@@ -34,40 +34,24 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlink.llm.base import chunks, small_batches, utf8, worker_cache
+from ledgerlink.llm.base import chunks, small_batches, utf8
 from ledgerlink.session import Workspace
 
 WIDTH, GRAM = 13, 4
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 SHARD_WORDS = 400_000
 AUTOMATON = 1 << 16
 DIGITS = 256
 STRETCH = 32  # windows of a stretch; a longer one is cut
-KNOWN = 1 << 20
+KNOWN = 1 << 20  # texts that a task remembers
 LAST = (1 << 63) - 1
 HIGH = np.uint64(0xFFFFFFFF00000000)
 
 
-class Codes(dict):
-    """The 64-bit code of each word, made when it is first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        code = self[word] = xxhash.xxh3_64_intdigest(word)
-        return code
-
-
-def word_codes() -> Codes:
-    cache = worker_cache()
-    if len(cache.get("word_codes", ())) > KNOWN or "word_codes" not in cache:
-        cache["word_codes"] = Codes()
-    return cache["word_codes"]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(29))
@@ -91,20 +75,45 @@ def least_of(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:n], x[width - done : width - done + n])
 
 
+def word_places(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a byte string start and stop."""
+    word = np.concatenate([[False], (raw != 32) & ((raw < 9) | (raw > 13)), [False]])
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    return edge[::2], edge[1::2]
+
+
+def word_codes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: its bytes as digits, mixed."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = stop - start
+    powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64)]))
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    digits = mix(np.arange(1, 257, dtype=np.uint64))[raw[place + np.repeat(start, size)]]
+    return mix(np.add.reduceat(digits * powers[place], first))
+
+
 class Words:
     """The words of several texts end to end, and the first words of their windows."""
 
     def __init__(self, texts: list[bytes], width: int):
-        split = [t.split() for t in texts]
         self.width = width
-        self.words = [w for s in split for w in s]
-        self.codes = np.fromiter(map(word_codes().__getitem__, self.words), np.uint64, len(self.words))
-        size = np.array([len(s) for s in split], np.int64)
-        self.begin = np.cumsum(size) - size
+        self.data = b" ".join(texts)
+        raw = np.frombuffer(self.data, np.uint8)
+        self.start, self.stop = word_places(raw)
+        self.codes = word_codes(raw, self.start, self.stop)
+        length = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        self.begin = np.searchsorted(self.start, np.cumsum(length) - length)  # the first word of each text
+        size = np.diff(np.append(self.begin, len(self.start)))
         n = np.maximum(size - width + 1, 0)
         self.text = np.repeat(np.arange(len(texts)), n)
         self.at = np.repeat(self.begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
+    def cut(self, a: int, z: int) -> bytes:
+        """The words a to z - 1, as they stand in the text."""
+        return self.data[self.start[a] : self.stop[z - 1]]
+
     def anchors(self, gram: int) -> np.ndarray:
         """48 bits of the anchor of each window."""
         if not len(self.at):
@@ -251,7 +260,7 @@ def cut_stretches(texts: DataFrame, width: int, gram: int) -> DataFrame:
                 start, of = at[head], text[head]
                 n = np.diff(np.append(head, len(at)))
                 k = np.arange(len(head)) - np.searchsorted(of, of)
-                bodies = [press.compress(b" ".join(w.words[a : a + m + width - 1])) for a, m in zip(start.tolist(), n.tolist())]
+                bodies = [press.compress(w.cut(a, a + m + width - 1)) for a, m in zip(start.tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(k.astype(np.int32)), part.column(1).take(pa.array(of)), pa.array(bodies, pa.binary())], ["t1", "k", "rank", "stretch"])
 
     return texts.select("t1", "rank", "grams", "packed").mapInArrow(run, "t1 long, k int, rank long, stretch binary")
@@ -358,7 +367,7 @@ class Shard:
         known, rank = self.asked()
         out = Automaton()
         self.phrases.sort()
-        for first, part in chunks([p for _, p in self.phrases], CHUNK >> 2):
+        for first, part in chunks([p for _, p in self.phrases], CHUNK >> 1):
             w = Words(list(map(zstandard.decompress, part)), self.width)
             of = np.array([r for r, _ in self.phrases[first : first + len(part)]], np.int64)[w.text]
             h = w.hashes()
@@ -366,13 +375,13 @@ class Shard:
             hit = np.flatnonzero((known[place] == h) & (of < rank[place])) if len(known) else np.zeros(0, np.int64)
             by = hit[np.argsort(h[hit], kind="stable")]  # phrases come by rank, so the first of equal hashes has the smallest
             hit = np.sort(by[firsts(h[by])])
-            ends = np.append(w.begin[1:], len(w.words))
+            ends = np.append(w.begin[1:], len(w.start))
             for k, at in zip(*grouped(w.text[hit], w.at[hit])):
                 begin, end = int(w.begin[k]), int(ends[k])
                 if out.full(end - begin):
                     yield out.compile()
                     out = Automaton()
-                out.add(w.words[begin:end], (at - begin).tolist(), self.width, self.phrases[first + k][0])
+                out.add(w.cut(begin, end).split(), (at - begin).tolist(), self.width, self.phrases[first + k][0])
         if out.windows:
             yield out.compile()
 
@@ -380,7 +389,7 @@ class Shard:
         """The sorted hashes of the texts' windows, and the largest rank of a text that has each."""
         hashes, ranks = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         keys = list(self.texts)
-        for first, part in chunks(self.texts.values(), CHUNK >> 2):
+        for first, part in chunks(self.texts.values(), CHUNK >> 1):
             w = Words(list(map(zstandard.decompress, part)), self.width)
             rank = np.array([self.classes[k][0] for k in keys[first : first + len(part)]], np.int64)
             hashes.append(w.hashes())
