@@ -43,6 +43,9 @@ class Params:
     delta_limit: float = 20.0
     # Assignment.
     assign_min_score: float = 30.0
+    # The models behind the two reply providers, as audit rows name them.
+    gemini_model: str = "gemini-3.6-flash"
+    groq_model: str = "groq/compound-mini"
 
     def with_(self, **changes) -> "Params":
         return replace(self, **changes)

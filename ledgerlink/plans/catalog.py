@@ -174,6 +174,15 @@ def src9_upload_summary(spark, sf):
 # ---------------------------------------------------------------- projections
 
 
+@query
+def prj3_unique_made_ids(spark, sf):
+    """Rows without an id, read with ids of few digits, which meet often: every row stays under an id of its own."""
+    t = dt.inputs(spark, sf)["transactions"].select(*[F.lit(None).cast("string").alias("txn_id") if c == "txn_id" else F.col(c).cast("string").alias(c) for c in ("txn_id", "txn_date", "amount", "narration", "direction")], "row_idx")
+    parsed = csvs.parse_transactions(csvs.with_columns_present(t, csvs.TXN_COLUMNS), "M", "B", id_digits=5)
+    good = csvs.good_rows(parsed, "txn_id")
+    return good.agg(F.count("*").alias("n_rows"), F.countDistinct("txn_id").alias("n_ids"), F.countDistinct("row_idx").alias("n_source_rows"))
+
+
 @query
 def prj3_missing_id_synthesis(spark, sf):
     t = dt.inputs(spark, sf)["transactions"].select(*[F.lit(None).cast("string").alias("txn_id") if c == "txn_id" else F.col(c).cast("string").alias(c) for c in ("txn_id", "txn_date", "amount", "narration", "direction")], "row_idx")
@@ -883,6 +892,25 @@ def jsn2_match_events(spark, sf):
     return e.select(f("txn_id"), f("amount"), f("band"), f("match_type"))
 
 
+@query
+def arr3_allocation_map(spark, sf):
+    m = report.allocated_by_id(_ids(_matches(spark, sf)))
+    return m.select("txn_id", F.size("allocated").alias("ids"), fx.paise(F.element_at("allocated", F.col("txn_id"))).alias("allocated_p"))
+
+
+@query
+def stm3_replayed_run(spark, sf):
+    """A stored run as a feed: its events are numbered without gaps, and the closing one holds the totals."""
+    e = live.replay(_matches(spark, sf))
+    f = lambda k: F.get_json_object("event", f"$.{k}")
+    closing = F.coalesce(f("done") == "true", F.lit(False))
+    number = lambda k: F.max(F.when(closing, f(k).cast("bigint"))).alias(k)
+    return e.groupBy("batch_id").agg(
+        F.countDistinct("idx").alias("places"), F.max("idx").alias("last"), F.count_if(~closing & (f("idx") == F.col("idx").cast("string")) & (f("total").cast("bigint") >= F.col("idx"))).alias("events"),
+        number("total"), number("auto_accept"), number("review"), number("exceptions"),
+    ).drop("batch_id")
+
+
 # ---------------------------------------------------------------- streaming
 
 

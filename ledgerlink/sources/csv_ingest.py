@@ -5,10 +5,12 @@ Every step is a projection or filter on one scan; the only shuffle is the dedup
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ledgerlink import schemas
 from ledgerlink.functions import scalars as fx
+from ledgerlink.session import Workspace
+from ledgerlink.sources.csv_records import records
 
 TXN_COLUMNS = ["txn_id", "txn_date", "date", "amount", "direction", "narration", "channel", "reference_number"]
 INVOICE_COLUMNS = [
@@ -18,15 +20,17 @@ INVOICE_COLUMNS = [
 LABEL_COLUMNS = ["invoice_id", "txn_ids", "is_true_match", "case_category"]
 
 
-def scan(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
-    """Header-keyed scan.  Columns are bound by name; the header row alone is read to learn them.
+def scan(spark: SparkSession, path: str | list[str], wanted: list[str]) -> DataFrame:
+    """Header-keyed scan of one file or several with the same header.  Columns are bound by name; the header row alone is read to
+    learn them.
 
-    row_idx keeps file order: partitions are file ranges in order and ids rise within and across them.
+    Quoted fields may hold line breaks.  row_idx rises in the order of the files' names and of the records in them.
     """
     header = spark.read.option("header", True).csv(path).columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    raw = spark.read.option("header", True).option("multiLine", False).option("escape", '"').schema(schema).csv(path)
-    return with_columns_present(raw, wanted).withColumn("row_idx", F.monotonically_increasing_id())
+    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in header)
+    fields = F.from_csv("record", schema, {"escape": '"'})
+    raw = records(spark, path).select("row_idx", fields.alias("f")).select("f.*", "row_idx")
+    return with_columns_present(raw, wanted)
 
 
 def with_columns_present(raw: DataFrame, wanted: list[str]) -> DataFrame:
@@ -49,17 +53,46 @@ def _either(first: str, second: str) -> Column:
     return F.when(F.col(f"_has_{first}"), _text(first)).otherwise(_text(second))
 
 
-def _made_id(prefix: str, cols: list[str]) -> Column:
-    """PRJ-3: a missing id is derived from the row, so that a retried task makes the same id."""
-    body = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols], F.col("row_idx").cast("string"))
-    return F.concat(F.lit(prefix), F.substring(F.sha2(body, 256), 1, 8))
+ID_DIGITS = 8
+ID_ROUNDS = 40
+
+
+def _digits(row: Column, attempt: Column, digits: Column) -> Column:
+    """PRJ-3: the digits of a made id follow from the row, so that a retried task makes the same id."""
+    body = F.concat_ws("|", F.to_json(row), F.col("row_idx").cast("string"), attempt.cast("string"))
+    return F.substr(F.sha2(body, 256), F.lit(1), digits)
+
+
+def with_unique_ids(parsed: DataFrame, id_col: str) -> DataFrame:
+    """Made ids that meet a given id or the made id of an earlier row are derived again, until all differ.
+
+    Only the rows that meet are touched in a round, about n * n / 16^digits / 2 of n; the rounds are bounded, running out of them
+    raises.  Given ids are never changed.
+    """
+    if parsed.where("made").isEmpty():
+        return parsed
+    ws = Workspace(parsed.sparkSession)
+    rows = ws.save(parsed.withColumn("_attempt", F.lit(0)), "made-ids")
+    digits = F.length(id_col) - F.instr(id_col, "-")
+    for _ in range(ID_ROUNDS):
+        met = rows.groupBy("batch_id", id_col).agg(F.count("*").alias("n"), F.count_if("made").alias("n_made")).where("n > 1 and n_made > 0")
+        met = ws.save(met.select("batch_id", id_col), "met-ids")
+        if met.isEmpty():
+            return rows.drop("_attempt")
+        order = Window.partitionBy("batch_id", id_col).orderBy("made", "row_idx")
+        again = rows.join(met, ["batch_id", id_col], "left_semi").withColumn("_n", F.row_number().over(order))
+        moved = F.col("made") & (F.col("_n") > 1)
+        fresh = F.concat(F.substring_index(id_col, "-", 1), F.lit("-"), _digits(F.col("row"), F.col("_attempt") + 1, digits))
+        again = again.withColumns({id_col: F.when(moved, fresh).otherwise(F.col(id_col)), "_attempt": F.col("_attempt") + moved.cast("int")}).drop("_n")
+        rows = ws.save(rows.join(met, ["batch_id", id_col], "left_anti").unionByName(again.select(rows.columns)), "made-ids")
+    raise RuntimeError("made ids did not come apart; use more digits")
 
 
 def _problem(bad: Column, label: str, raw: Column) -> Column:
     return F.when(bad, F.concat(F.lit(f"Invalid {label}: '"), raw, F.lit("'")))
 
 
-def parse_transactions(raw: DataFrame, merchant_id: str | Column, batch_id: str | Column) -> DataFrame:
+def parse_transactions(raw: DataFrame, merchant_id: str | Column, batch_id: str | Column, id_digits: int = ID_DIGITS) -> DataFrame:
     """PRJ-1 plus an errors array.  Rows with errors keep their raw columns."""
     date_raw = _either("txn_date", "date")
     amount = fx.parse_amount(F.col("amount"))
@@ -68,7 +101,8 @@ def parse_transactions(raw: DataFrame, merchant_id: str | Column, batch_id: str
     channel = fx.blank_to_null(F.col("channel"))
     given = fx.blank_to_null(F.col("txn_id"))
     return raw.select(
-        F.coalesce(given, _made_id("TXN-", TXN_COLUMNS)).alias("txn_id"),
+        F.coalesce(given, F.concat(F.lit("TXN-"), _digits(F.struct(*TXN_COLUMNS), F.lit(0), F.lit(id_digits)))).alias("txn_id"),
+        given.isNull().alias("made"),
         _as_col(merchant_id).alias("merchant_id"),
         _as_col(batch_id).alias("batch_id"),
         day.alias("txn_date"),
@@ -91,13 +125,14 @@ def parse_transactions(raw: DataFrame, merchant_id: str | Column, batch_id: str
     )
 
 
-def parse_invoices(raw: DataFrame, merchant_id: str | Column, batch_id: str | Column) -> DataFrame:
+def parse_invoices(raw: DataFrame, merchant_id: str | Column, batch_id: str | Column, id_digits: int = ID_DIGITS) -> DataFrame:
     """PRJ-2: null or zero net falls back to total; GST parts default to 0; zero TDS rate is null."""
     date_raw = _either("invoice_date", "date")
     base, total = fx.parse_amount(F.col("base_amount")), fx.parse_amount(F.col("total_amount"))
     day = fx.parse_date(date_raw)
     zero = F.lit(0).cast(schemas.MONEY)
     status = F.when(F.col("_has_status"), _text("status")).otherwise(F.lit("open"))
+    given = fx.blank_to_null(F.col("invoice_id"))
 
     def gst(c: str) -> Column:
         return F.coalesce(fx.parse_amount(F.col(c)), zero).alias(c)
@@ -105,7 +140,8 @@ def parse_invoices(raw: DataFrame, merchant_id: str | Column, batch_id: str | Co
     rate = F.regexp_replace(F.col("tds_rate"), r"[₹,\s]", "")
     rate = F.when(rate != "", rate.try_cast(schemas.RATE))
     return raw.select(
-        F.coalesce(fx.blank_to_null(F.col("invoice_id")), _made_id("INV-", INVOICE_COLUMNS)).alias("invoice_id"),
+        F.coalesce(given, F.concat(F.lit("INV-"), _digits(F.struct(*INVOICE_COLUMNS), F.lit(0), F.lit(id_digits)))).alias("invoice_id"),
+        given.isNull().alias("made"),
         _as_col(merchant_id).alias("merchant_id"),
         _as_col(batch_id).alias("batch_id"),
         _text("counterparty_name").alias("counterparty_name"),
@@ -149,13 +185,13 @@ def parse_labels(raw: DataFrame, batch_id: str | Column) -> DataFrame:
 
 
 def good_rows(parsed: DataFrame, id_col: str) -> DataFrame:
-    """Error-free rows, first row per id in file order (WIN-5)."""
+    """Error-free rows, first row per given id in file order (WIN-5); rows without an id all stay (PRJ-3)."""
     first = Window.partitionBy("batch_id", id_col).orderBy("row_idx")
     return (
-        parsed.where(F.size("errors") == 0)
+        with_unique_ids(parsed.where(F.size("errors") == 0), id_col)
         .withColumn("_n", F.row_number().over(first))
         .where("_n = 1")
-        .drop("_n", "errors", "row")
+        .drop("_n", "errors", "row", "made")
     )
 
 

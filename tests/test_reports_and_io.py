@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from builders import inv, invs_df, txn, txns_df
 from ledgerlink import schemas
 from ledgerlink.operators import adjudicate, calibrate, evaluate, forensics, report, review
+from ledgerlink.params import DEFAULT
 from ledgerlink.plans import reconcile as rc
 from ledgerlink.plans.rules_run import rules_run
 from ledgerlink.sources import csv_ingest as csvs, store
@@ -175,7 +176,8 @@ def test_replies_move_the_run(spark):
     # The reply is clipped to -20 on the heuristic score of 100: 0.6 * 80 + 0.4 * 98.72.
     assert got["T1"].confidence_score == pytest.approx(87.49) and got["T1"].explanation_source == "llm"
     assert got["T2"].pending_llm_enrichment and got["T2"].confidence_score > 90
-    assert "pass5_llm" in {r.pass_name for r in moved.audit.collect()}
+    named = {(r.llm_provider, r.llm_model, r.llm_both_failed) for r in moved.audit.collect()}
+    assert named == {("gemini", DEFAULT.gemini_model, False), (None, DEFAULT.groq_model, True), (None, None, False)}
 
 
 def test_stream_feed_equals_batch_and_replays(spark, tmp_path):
@@ -198,3 +200,77 @@ def test_rules_run_and_catalog_names(spark):
     assert set(ORACLE) <= set(QUERIES) and len(QUERIES) > 90
     m = rules_run(txns_df(spark, [txn("T", "2026-08-02", 1000, "NEFT SHARMA TRADING")]), invs_df(spark, [inv("INV-1", "2026-08-01", "Sharma Trading", 1000)]), "R").first()
     assert (m.confidence_score, m.confidence_band) == (100.0, "auto_accept")
+
+
+def test_scan_reads_quoted_line_breaks_of_several_files_in_order(spark, tmp_path):
+    """Random fields with quotes, commas and line breaks, in files of odd sizes and in splits of few bytes, as the csv module reads them."""
+    import csv
+    import random
+
+    r = random.Random(11)
+    piece = lambda: r.choice(["a", "bc", '"', ",", "\n", '""', " ", "é", '",', ',"', '\n"', "x\ny", '5" pipe'])
+    want, names = [], []
+    for f, n in enumerate((1, 57, 120)):
+        path = tmp_path / f"part-{f}.csv"
+        names.append(str(path))
+        with open(path, "w", newline="") as out:
+            w = csv.writer(out, lineterminator="\n")
+            w.writerow(["txn_id", "amount", "narration"])
+            for k in range(n):
+                rows = ["".join(piece() for _ in range(r.choice([0, 1, 3, 9, 40]))).strip() for _ in range(2)]
+                w.writerow([f"T{f}-{k}", *rows])
+                want.append((f"T{f}-{k}", *(x or None for x in rows)))
+            if f == 1:
+                out.write('T1-end,5" wide,plain"ly\n\n')
+                want.append(("T1-end", '5" wide', 'plain"ly'))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("128m", "90b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+            got = csvs.scan(spark, names, csvs.TXN_COLUMNS).orderBy("row_idx").select("txn_id", "amount", "narration").collect()
+            assert [tuple(x) for x in got] == want, size
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_rows_without_an_id_all_survive(spark):
+    n = 200_000
+    raw = spark.range(n).select(F.lit(None).cast("string").alias("txn_id"), F.lit("2026-01-05").alias("txn_date"), F.lit("10").alias("amount"), F.lit("same text").alias("narration"), F.col("id").alias("row_idx"))
+    parsed = csvs.parse_transactions(csvs.with_columns_present(raw, csvs.TXN_COLUMNS), "M", "B")
+    assert parsed.select("txn_id").distinct().count() < n  # eight digits meet in so many rows
+    assert csvs.good_rows(parsed, "txn_id").agg(F.countDistinct("txn_id"), F.count("*")).first() == (n, n)
+
+
+def test_made_ids_leave_given_ids_alone(spark):
+    rows = [(None, str(k), k) for k in range(150)] + [(f"TXN-{k:x}", "7", 1000 + k) for k in range(0, 256, 2)] + [("TXN-a", "8", 2000)]
+    raw = spark.createDataFrame(rows, "txn_id string, amount string, row_idx long").withColumn("txn_date", F.lit("2026-01-05"))
+    read = lambda: csvs.good_rows(csvs.parse_transactions(csvs.with_columns_present(raw.where("amount <> '0'"), csvs.TXN_COLUMNS), "M", "B", id_digits=3), "txn_id")
+    got = {x.row_idx: x.txn_id for x in read().collect()}
+    assert len(set(got.values())) == len(got) == 149 + 128
+    assert all(got[i] == t for t, _, i in rows if t and i < 2000) and 2000 not in got
+    assert got == {x.row_idx: x.txn_id for x in read().collect()}
+
+
+def test_feed_events_are_numbered_and_close_with_totals(spark):
+    import json
+
+    item = [("T", "I", Decimal("1.00"))]
+    rows = [("B", f"R{k % 2}", f"MATCH-{k % 3}{k:07x}", band, 50.0, "one_to_one", item, "x") for k, band in enumerate(["auto_accept"] * 7 + ["review"] * 5 + ["reject"] * 2 + ["exception"])]
+    schema = "batch_id string, run_id string, match_id string, confidence_band string, confidence_score double, match_type string, line_items array<struct<txn_id:string,invoice_id:string,allocated_amount:decimal(18,2)>>, explanation_text string"
+    got = report.feed_events(spark.createDataFrame(rows, schema)).orderBy("run_id", "idx").collect()
+    for run in ("R0", "R1"):
+        mine = [json.loads(x.event) for x in got if x.run_id == run]
+        bands = [x[3] for x in rows if x[1] == run]
+        assert [e["idx"] for e in mine[:-1]] == list(range(1, len(bands) + 1)) and {e["total"] for e in mine} == {len(bands)}
+        assert [e["match_id"] for e in mine[:-1]] == sorted(x[2] for x in rows if x[1] == run)
+        assert mine[-1] == {"done": True, "total": len(bands), "auto_accept": bands.count("auto_accept"), "review": bands.count("review"), "exceptions": bands.count("reject") + bands.count("exception")}
+
+
+def test_allocations_by_id(spark):
+    d = Decimal
+    rows = [("a", "batch_one_to_many", [("T", "I1", d("3.00")), ("T", "I2", d("4.00"))]), ("b", "split_many_to_one", [("T1", "I", d("1.00")), ("T2", "I", d("2.00")), ("T1", "I", d("5.50"))]), ("c", "exception", [("T", None, None)]), ("d", "one_to_one", [])]
+    df = spark.createDataFrame(rows, "match_id string, match_type string, line_items array<struct<txn_id:string,invoice_id:string,allocated_amount:decimal(18,2)>>")
+    got = {r.match_id: r.allocated for r in report.allocated_by_id(df).collect()}
+    assert got == {"a": {"I1": d("3.00"), "I2": d("4.00")}, "b": {"T1": d("6.50"), "T2": d("2.00")}, "c": {"T": d("0.00")}, "d": {}}
