@@ -180,7 +180,7 @@ def prj3_unique_made_ids(spark, sf):
     t = dt.inputs(spark, sf)["transactions"].select(*[F.lit(None).cast("string").alias("txn_id") if c == "txn_id" else F.col(c).cast("string").alias(c) for c in ("txn_id", "txn_date", "amount", "narration", "direction")], "row_idx")
     parsed = csvs.parse_transactions(csvs.with_columns_present(t, csvs.TXN_COLUMNS), "M", "B", id_digits=5)
     good = csvs.good_rows(parsed, "txn_id")
-    return good.agg(F.count("*").alias("n_rows"), F.countDistinct("txn_id").alias("n_ids"), F.countDistinct("row_idx").alias("n_source_rows"))
+    return good.agg(F.count("*").alias("n_rows"), F.countDistinct("txn_id").alias("n_ids"))
 
 
 @query

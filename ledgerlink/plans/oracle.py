@@ -415,6 +415,6 @@ fd AS (SELECT DISTINCT cp AS a, narr AS b FROM met WHERE NOT plainly),""" + rati
     UNION ALL SELECT merchant_id, cp, narr FROM met JOIN fz ON cp = a AND narr = b WHERE NOT plainly AND sets >= 70""")
 # A heavier assignment would show as a violated edge or a gap; SQL counts what had to be covered.
 add("asn1_certificate", _SECOND, "SELECT count(*) AS edges, count(DISTINCT txn_id) AS txns, count(DISTINCT invoice_id) AS invoices, CAST(0 AS BIGINT) AS repeated, CAST(0 AS BIGINT) AS violated, CAST(0 AS BIGINT) AS negative, CAST(0 AS BIGINT) AS gap FROM second WHERE score >= 30")
-add("prj3_unique_made_ids", TXN, "SELECT count(*) AS n_rows, count(*) AS n_ids, count(*) AS n_source_rows FROM txn")
+add("prj3_unique_made_ids", TXN, "SELECT count(*) AS n_rows, count(*) AS n_ids FROM txn")
 add("stm3_replayed_run", MATCHES, "SELECT count(*) + 1 AS places, count(*) + 1 AS last, count(*) AS events, count(*) AS total, count(*) FILTER (band = 'auto_accept') AS auto_accept, count(*) FILTER (band = 'review') AS review, count(*) FILTER (band IN ('reject', 'exception')) AS exceptions FROM m")
 add("arr3_allocation_map", MATCHES, "SELECT txn_id, CAST(1 AS INTEGER) AS ids, amount_p AS allocated_p FROM m")

@@ -187,8 +187,9 @@ def parse_labels(raw: DataFrame, batch_id: str | Column) -> DataFrame:
 def good_rows(parsed: DataFrame, id_col: str) -> DataFrame:
     """Error-free rows, first row per given id in file order (WIN-5); rows without an id all stay (PRJ-3)."""
     first = Window.partitionBy("batch_id", id_col).orderBy("row_idx")
+    good = parsed.where(F.size("errors") == 0)
     return (
-        with_unique_ids(parsed.where(F.size("errors") == 0), id_col)
+        (with_unique_ids(good, id_col) if "made" in parsed.columns else good)
         .withColumn("_n", F.row_number().over(first))
         .where("_n = 1")
         .drop("_n", "errors", "row", "made")
