@@ -53,14 +53,20 @@ def date_closeness() -> Column:
     return F.when(F.col("gap") <= 60, F.round(10.0 * fx.gaussian(F.col("gap").cast("double"), 15.0), 2))
 
 
-def fuzzy_points(pairs: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Pass 2 signals for every pair; whether they count depends on the pass-1 outcome of the transaction."""
-    scored = pairs.withColumn("_f", name_ratio_scores()(F.col("cp"), fx.strip_channel(F.col("narr"))))
+NAME_POINTS = 18.0
+
+
+def with_closeness(pairs: DataFrame) -> DataFrame:
+    """The pass-2 signals that need no text: f_amount and f_date."""
+    return pairs.withColumn("f_amount", amount_closeness()).withColumn("f_date", date_closeness())
+
+
+def with_name_ratio(pairs: DataFrame) -> DataFrame:
+    """f_ratio, f_name and the pass-2 total, on rows with_closeness."""
+    scored = pairs.withColumn("_f", name_ratio_scores(points=NAME_POINTS)(F.col("cp"), fx.strip_channel(F.col("narr"))))
     return (
         scored.withColumn("f_ratio", F.col("_f.ratio"))
         .withColumn("f_name", F.col("_f.points"))
-        .withColumn("f_amount", amount_closeness())
-        .withColumn("f_date", date_closeness())
         .drop("_f")
         .withColumn(
             "p2",
@@ -73,6 +79,31 @@ def fuzzy_points(pairs: DataFrame, params: Params = DEFAULT) -> DataFrame:
     )
 
 
+def fuzzy_points(pairs: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """Pass 2 signals for every pair; whether they count depends on the pass-1 outcome of the transaction."""
+    return with_name_ratio(with_closeness(pairs))
+
+
+def leading_pairs(pairs: DataFrame, k: int, params: Params = DEFAULT) -> DataFrame:
+    """The ``k`` best pairs of each transaction, the rows of ``rank_pairs(fuzzy_points(...))`` up to rank k, without vectors.
+
+    The name ratio gives 0 to ``NAME_POINTS`` points.  A pair that stays below the k-th best of its transaction even with all
+    of them is dropped before texts are compared.  The best pair of pass 1 always stays, as it decides how the others count.
+    """
+    by = Window.partitionBy(*TXN)
+    ranked = with_closeness(pairs).withColumn("_r1", F.row_number().over(by.orderBy(F.desc("p1"), "gap", "row_idx", "invoice_id")))
+    by_rules = (F.col("_r1") == 1) & (F.col("p1") >= params.pass1_resolve) & F.col("p1_amount")
+    least = F.when(by_rules, F.col("p1")).otherwise(F.least(F.lit(100.0), F.col("p1") + F.coalesce("f_amount", F.lit(0.0)) + F.coalesce("f_date", F.lit(0.0))))
+    most = F.when(by_rules, F.col("p1")).otherwise(F.least(F.lit(100.0), F.col("_least") + NAME_POINTS))
+    ranked = ranked.withColumn("_least", least).withColumn("_nth", F.row_number().over(by.orderBy(F.desc("_least"))))
+    bar = F.max(F.when(F.col("_nth") == k, F.col("_least"))).over(by)
+    # Sums of points are rounded to hundredths; the margin only keeps a pair too many.
+    kept = ranked.withColumn("_bar", bar).where((F.col("_r1") == 1) | F.col("_bar").isNull() | (most >= F.col("_bar") - 1e-6))
+    none = F.lit(None).cast("double")
+    open_ = with_name_ratio(kept.drop("_r1", "_least", "_nth", "_bar")).withColumn("sim", none).withColumn("s_vec", none)
+    return rank_pairs(open_, params.with_(enable_embedding=False)).where(F.col("rank") <= k)
+
+
 def embedding_points(pairs: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Pass 3 signal from a `sim` column (null when a vector is missing): s_vec is null when it does not fire."""
     if not params.enable_embedding:

@@ -420,8 +420,7 @@ def sco9_fuzzy_date_points(spark, sf):
 
 @query
 def sco10_second_pass_ranking(spark, sf):
-    p = scoring.fuzzy_points(_ruled(spark, sf)).withColumn("sim", F.lit(None).cast("double")).withColumn("s_vec", F.lit(None).cast("double"))
-    return scoring.rank_pairs(p, DEFAULT.with_(enable_embedding=False)).where("rank <= 2").select("txn_id", "invoice_id", "rank", cents(F.col("score")).alias("score_c"), "resolved")
+    return scoring.leading_pairs(_ruled(spark, sf), 2).select("txn_id", "invoice_id", "rank", cents(F.col("score")).alias("score_c"), "resolved")
 
 
 def _vector_pairs(spark, sf) -> DataFrame:

@@ -119,6 +119,21 @@ def test_partial_pick(spark):
     assert df.select(groups.partial_pick().alias("x")).first().x.id == "a"
 
 
+def test_leading_pairs_equal_the_full_ranking(spark):
+    """Few names and amounts, so that many pairs are close to the bar and some transactions are settled by rules."""
+    r = random.Random(9)
+    names = ["Sharma Trading", "Sharma Traders", "Kapoor Logistics", "Verma", "LTD"]
+    i = [inv(f"INV-{k}", date(2026, 1, 1) + timedelta(days=r.randint(0, 50)), r.choice(names), r.choice([1000, 1010, 1500]), ref=r.choice([None, "UTR1", "UTR2"])) for k in range(40)]
+    t = [txn(f"T{k}", date(2026, 1, 10) + timedelta(days=r.randint(0, 50)), r.choice([1000, 1010, 990, 1500]), "NEFT " + r.choice([*names, "", "SHRMA TRDING"]).upper(), ref=r.choice([None, "UTR1"])) for k in range(60)]
+    p = scoring.rule_points(cand.candidate_pairs(cand.txn_view(txns_df(spark, t)), cand.invoice_view(invs_df(spark, i))))
+    none = F.lit(None).cast("double")
+    want = scoring.rank_pairs(scoring.fuzzy_points(p).withColumn("sim", none).withColumn("s_vec", none), DEFAULT.with_(enable_embedding=False))
+    cols = ["txn_id", "invoice_id", "rank", "score", "resolved", "f_name"]
+    for k in (1, 2, 5):
+        got = sorted(map(tuple, scoring.leading_pairs(p, k).select(*cols).collect()))
+        assert got == sorted(map(tuple, want.where(F.col("rank") <= k).select(*cols).collect()))
+
+
 def test_name_index_loses_no_pair(spark):
     """Names and texts close to the bound, of many lengths, against all pairs; and what the index looks at instead."""
     r = random.Random(12)
