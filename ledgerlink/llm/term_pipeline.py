@@ -249,7 +249,7 @@ def search(
     m = F.expr(f"transform(n, x -> 75L + (25L * x * {n_docs}L) div {n_terms}L)")
     empty = F.array().cast("array<int>")
     state = (
-        postings.select("bundle", "block").distinct().join(bundles, "bundle").join(blocks, "block")
+        postings.select("bundle", "block").distinct().join(bundles, "bundle").join(blocks.hint("merge"), "block")  # packed lists are small files but large in memory
         .select("bundle", "block", "items", "ids", m.alias("m"), empty.alias("acc_item"), empty.alias("acc_doc"), F.array().cast("array<long>").alias("acc_score"))
     )
     for s in range(len(owners) + 1):
