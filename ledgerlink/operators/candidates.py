@@ -62,9 +62,10 @@ def is_noise(params: Params = DEFAULT) -> Column:
 def prepass(t: DataFrame, duplicates: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """FLT-1..4 and PRJ-14: exclusion category per transaction, first hit wins; null means 'go on to matching'.
 
-    duplicates has (batch_id, txn_id, original_id) from JN-3.
+    duplicates has (batch_id, merchant_id, txn_id, original_id) from JN-3.
     """
-    out = t.join(duplicates.select("batch_id", "txn_id", "original_id"), ["batch_id", "txn_id"], "left")
+    key = ["batch_id", "merchant_id", "txn_id"]
+    out = t.join(duplicates.select(*key, "original_id"), key, "left")
     category = (
         F.when(F.col("direction") == "debit", "debit_transaction")
         .when(is_noise(params), "noise_below_floor")

@@ -11,7 +11,7 @@ from ledgerlink.functions import scalars as fx
 from ledgerlink.functions.fuzzy import name_ratio_scores
 from ledgerlink.params import DEFAULT, Params
 
-TXN = ["batch_id", "txn_id"]
+TXN = ["batch_id", "merchant_id", "txn_id"]
 
 
 def rule_points(pairs: DataFrame, params: Params = DEFAULT) -> DataFrame:

@@ -23,9 +23,9 @@ def rules_run(txns: DataFrame, invoices: DataFrame, run_id: str, params: Params
     todo = pre.where(F.col("excluded_as").isNull()).drop("original_id", "excluded_as")
     pairs = scoring.rule_points(cand.candidate_pairs(todo, cand.invoice_view(invoices, params), params), params)
     top = scoring.top_by_rules(pairs, params).select(
-        "batch_id", "txn_id", F.col("invoice_id").alias("top_invoice"), "p1", "resolved"
+        *scoring.TXN, F.col("invoice_id").alias("top_invoice"), "p1", "resolved"
     )
-    rows = pre.join(top, ["batch_id", "txn_id"], "left")
+    rows = pre.join(top, scoring.TXN, "left")
     found = F.col("top_invoice").isNotNull()
     score = F.coalesce("p1", F.lit(0.0))
     band = scoring.band(score, params)
@@ -34,7 +34,7 @@ def rules_run(txns: DataFrame, invoices: DataFrame, run_id: str, params: Params
     )
     item = F.struct("txn_id", F.col("top_invoice").alias("invoice_id"), F.col("amount").alias("allocated_amount"))
     return rows.select(
-        decide.stable_id("MATCH-", "batch_id", F.lit(run_id), "txn_id").alias("match_id"),
+        decide.stable_id("MATCH-", "batch_id", "merchant_id", F.lit(run_id), "txn_id").alias("match_id"),
         "batch_id", F.lit(run_id).alias("run_id"),
         F.when(found, "one_to_one").otherwise("exception").alias("match_type"),
         score.alias("confidence_score"), band.alias("confidence_band"),

@@ -274,3 +274,14 @@ def test_allocations_by_id(spark):
     df = spark.createDataFrame(rows, "match_id string, match_type string, line_items array<struct<txn_id:string,invoice_id:string,allocated_amount:decimal(18,2)>>")
     got = {r.match_id: r.allocated for r in report.allocated_by_id(df).collect()}
     assert got == {"a": {"I1": d("3.00"), "I2": d("4.00")}, "b": {"T1": d("6.50"), "T2": d("2.00")}, "c": {"T": d("0.00")}, "d": {}}
+
+
+def test_one_id_under_two_merchants_stays_two_transactions(spark):
+    i = [inv("INV-1", "2026-08-01", "Sharma Trading", 1000, merchant=m) for m in "MN"]
+    t = [txn("T1", "2026-08-02", 1000, "NEFT SHARMA TRADING", merchant="M"), txn("T1", "2026-08-02", 700, "NEFT SHARMA TRADING", merchant="N")]
+    got = rules_run(txns_df(spark, t), invs_df(spark, i), "R").collect()
+    assert sorted(r.confidence_score for r in got) == [55.0, 100.0] and len({r.match_id for r in got}) == 2
+    run = rc.reconcile(txns_df(spark, t), invs_df(spark, i), "R")
+    rows = run.matches.collect()
+    assert len(rows) == 2 == len({r.match_id for r in rows})
+    assert sorted(r.score for r in live.preliminary(txns_df(spark, t), invs_df(spark, i)).collect()) == [55.0, 100.0]
