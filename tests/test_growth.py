@@ -47,3 +47,17 @@ def test_window_totals_equal_the_pairs_and_make_none(spark, monkeypatch):
     monkeypatch.setattr(cand, "candidate_pairs", None)  # plain rows need no pairs
     t, i = t.where("amount_p > 0"), i.where("net_p > 0")
     assert cand.window_totals(t, i).count() > 40
+
+
+def test_best_by_rules_equals_the_best_of_all_pairs(spark):
+    from ledgerlink.operators import rule_search
+
+    cols = ["merchant_id", "txn_id", "invoice_id", "p1", "resolved", "gap", "s_ref", "s_name", "s_amount", "s_formula"]
+    seen = set()
+    for seed in (4, 5):
+        t, i = views(spark, *mixed(seed, 120))
+        want = scoring.top_by_rules(scoring.rule_points(cand.candidate_pairs(t, i))).select(*cols).collect()
+        got = rule_search.best_by_rules(t, i).select(*cols).collect()
+        assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 80
+        seen |= {(c, r[c]) for r in want for c in ("s_ref", "s_name", "s_amount", "s_formula")}
+    assert {("s_ref", 20.0), ("s_ref", 35.0), ("s_ref", 40.0), ("s_name", 15.0), ("s_name", 35.0), ("s_amount", 35.0), ("s_formula", 22.0)} <= seen
