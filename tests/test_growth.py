@@ -61,3 +61,26 @@ def test_best_by_rules_equals_the_best_of_all_pairs(spark):
         assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) > 80
         seen |= {(c, r[c]) for r in want for c in ("s_ref", "s_name", "s_amount", "s_formula")}
     assert {("s_ref", 20.0), ("s_ref", 35.0), ("s_ref", 40.0), ("s_name", 15.0), ("s_name", 35.0), ("s_amount", 35.0), ("s_formula", 22.0)} <= seen
+
+
+def test_pairs_by_txn_are_the_pairs_and_ranking_shuffles_none(spark):
+    t, i = views(spark, *mixed(6, 90))
+    cols = ["merchant_id", "txn_id", "invoice_id", "gap", "p1"]
+    pairs = scoring.rule_points(cand.pairs_by_txn(t, i, tile_rows=7))
+    want = scoring.rule_points(cand.candidate_pairs(t, i)).select(*cols).collect()
+    assert sorted(map(tuple, pairs.select(*cols).collect())) == sorted(map(tuple, want)) and len(want) > 200
+    none = F.lit(None).cast("double")
+    ranked = scoring.rank_pairs(pairs.withColumn("p2", F.col("p1")).withColumn("p2_amount", F.col("p1_amount")).withColumn("sim", none).withColumn("s_vec", none))
+    shuffles = lambda df: plan(df).split("Physical Plan")[1].count("Exchange hashpartitioning")
+    assert "Window" in plan(ranked) and shuffles(ranked) == shuffles(pairs) > 0
+
+
+def test_similarity_of_rows_with_vectors_equals_that_of_pairs(spark):
+    t, i = views(spark, *mixed(7, 40))
+    v = lambda df, key: df.select("batch_id", key).dropDuplicates().where(F.crc32(key) % 4 > 0).withColumn("vector", F.array(*[(F.crc32(key) % n).cast("double") for n in (3, 5, 7)]))
+    tv, iv = v(t, "txn_id"), v(i, "invoice_id")
+    cols = ["merchant_id", "txn_id", "invoice_id", "sim"]
+    want = scoring.with_similarity(cand.candidate_pairs(t, i), tv, iv).select(*cols).collect()
+    pairs = cand.pairs_by_txn(scoring.with_vectors(t, tv, "txn_id", "t"), scoring.with_vectors(i, iv, "invoice_id", "i"))
+    got = scoring.similarity(pairs).select(*cols).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and {r.sim is None for r in want} == {True, False}
