@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from builders import inv, invs_df, txn, txns_df
 from ledgerlink.operators import candidates as cand, scoring
+from ledgerlink.params import DEFAULT
 from ledgerlink.sources import driver_tables as dt
 
 SMALL = "/root/testdata/sf0.001"
@@ -84,3 +85,25 @@ def test_similarity_of_rows_with_vectors_equals_that_of_pairs(spark):
     pairs = cand.pairs_by_txn(scoring.with_vectors(t, tv, "txn_id", "t"), scoring.with_vectors(i, iv, "invoice_id", "i"))
     got = scoring.similarity(pairs).select(*cols).collect()
     assert sorted(map(str, got)) == sorted(map(str, want)) and {r.sim is None for r in want} == {True, False}
+
+
+def test_available_totals_equal_the_available_pairs_and_make_none(spark, monkeypatch):
+    from ledgerlink.plans import reconcile as full
+
+    t, i = views(spark, *mixed(8, 90))
+    who = ["batch_id", "merchant_id"]
+    near = t.where("direction = 'credit'").select(*who, F.regexp_extract("txn_id", r"(\d+)", 1).cast("int").alias("k"), (-F.col("amount_p")).alias("neg"), F.col("txn_date").alias("day"), F.col("txn_id").alias("id")).where("k % 2 = 0")
+    own = i.select(*who, "invoice_id", F.substring("invoice_id", 5, 9).cast("int").alias("k"))
+    ci = near.join(own, [*who, "k"]).select(*who, F.lit("i").alias("kind"), F.col("invoice_id").alias("item"), "neg", "day", "id")
+    ct = near.select(*who, F.lit("t").alias("kind"), F.concat(F.lit("T"), F.col("k") + 3).alias("item"), "neg", "day", "id")
+    claims = ci.unionByName(ct)
+    want = full.available(cand.candidate_pairs(t, i), claims).groupBy("merchant_id").agg(F.count("*"), F.countDistinct("invoice_id")).collect()
+    every = cand.candidate_pairs(t, i).count()
+    got = full.available_totals(t, i, claims, DEFAULT).select("merchant_id", "pairs", "invoices")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and 0 < sum(r[1] for r in want) < every
+    monkeypatch.setattr(cand, "candidate_pairs", None)  # plain rows need no pairs
+    assert full.available_totals(t.where("amount_p > 0"), i.where("net_p > 0"), claims, DEFAULT).count() == 2
+    monkeypatch.undo()
+    t, i = t.where("amount_p > 0"), i.where("net_p > 0")
+    held = i.withColumnRenamed("invoice_id", "item").join(ci.select(*who, "item", F.struct("neg", "day", "id").alias("_ci")), [*who, "item"]).withColumnRenamed("item", "invoice_id")
+    assert full.held_pairs(t, held, DEFAULT, 5).agg(F.sum("pairs")).first() == full.held_pairs(t, held, DEFAULT).agg(F.sum("pairs")).first()
