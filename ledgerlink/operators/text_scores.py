@@ -14,8 +14,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ledgerlink.functions.textratio import partial_ratios, token_set_ratios
-from ledgerlink.operators.candidates import CELL
+from ledgerlink.functions.fuzzy import name_points
+from ledgerlink.functions.textratio import partial_ratios, token_set_ratios, token_sort_ratios
+from ledgerlink.operators.candidates import CELL, candidate_pairs
 from ledgerlink.params import DEFAULT, Params
 from ledgerlink.session import Workspace, spread
 
@@ -39,6 +40,14 @@ def levels(names: list[str], texts: list[str]) -> np.ndarray:
     return (ratio >= 60).astype(np.int16) + (ratio >= 85)
 
 
+def points(names: list[str], texts: list[str]) -> np.ndarray:
+    """The name points of pass 2 in hundredths."""
+    ratio = partial_ratios(names, texts)
+    rest = np.flatnonzero(ratio < 100.0)
+    ratio[rest] = np.maximum(ratio[rest], token_sort_ratios([names[k] for k in rest], [texts[k] for k in rest]))
+    return np.array([round(100 * name_points(r)) for r in ratio.tolist()], dtype=np.int16)
+
+
 def places(i: DataFrame, names: int = NAMES) -> DataFrame:
     """cp, _chunk, _place: every name of the invoices has one place in one chunk."""
     home = i.groupBy("cp").agg(F.min(F.struct(*CELL)).alias("_home"))
@@ -84,6 +93,22 @@ class TextScores:
         self.scores = ws.save(made, "scores")
 
 
+    def paid(self, t: DataFrame) -> DataFrame:
+        """Transactions with the scores of their text, one row for each chunk of their merchant."""
+        held = self.names.select(*CELL, "_chunk").distinct()
+        return t.join(self.texts, [*CELL, "narr"]).join(held, CELL).join(self.scores, ["text", "_chunk"]).drop("text")
+
+    def owed(self, i: DataFrame) -> DataFrame:
+        """Open invoices with the place of their name."""
+        return i.where("status = 'open'").join(self.names, [*CELL, "cp"])
+
+
+def scored_pairs(t: DataFrame, i: DataFrame, score=levels, read=None, params: Params = DEFAULT, **sizes) -> DataFrame:
+    """The candidate pairs with the score of their two texts as name_score."""
+    s = TextScores(t, i, score, read, **sizes)
+    return candidate_pairs(s.paid(t), s.owed(i), params, also=["_chunk"]).withColumn("name_score", F.get("_scores", F.col("_place"))).drop("_scores", "_place", "_chunk")
+
+
 def name_counts(t: DataFrame, i: DataFrame, params: Params = DEFAULT, classes: int = CLASSES, **sizes) -> DataFrame:
     """One row: strong and weak, the candidate pairs with these name signals, counted by texts and days without being made."""
     s = TextScores(t, i, **sizes)

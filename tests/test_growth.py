@@ -143,3 +143,20 @@ def test_name_counts_do_not_depend_on_chunks_and_blocks(spark):
     t, i = t.where("amount_p > 0"), i.where("net_p > 0")
     want = text_scores.name_counts(t, i).collect()
     assert text_scores.name_counts(t, i, classes=3, names=2, texts=2).collect() == want and want[0].weak > want[0].strong > 0
+
+
+def test_scored_pairs_equal_the_ratios_of_pairs_without_python_on_pairs(spark):
+    from ledgerlink.functions import fuzzy, scalars as fx
+    from ledgerlink.operators import linkage, text_scores
+
+    t, i = views(spark, *mixed(11, 60))
+    cols = ["merchant_id", "txn_id", "invoice_id"]
+    names = [F.col(f"g_{f}") for f in ("name_strong", "name_weak")]
+    want = linkage.signals(cand.candidate_pairs(t, i)).select(*cols, *names, "cp", "narr").withColumn("f", fuzzy.name_ratio_scores()("cp", fx.strip_channel(F.col("narr")))["points"]).drop("cp", "narr").collect()
+    for sizes in ({}, {"names": 2, "texts": 3}):
+        pairs = text_scores.scored_pairs(t, i, **sizes)
+        assert "Python" not in plan(linkage.signals(pairs)) and "InPandas" not in plan(pairs)
+        got = linkage.signals(pairs).select(*cols, *names)
+        assert sorted(map(tuple, got.collect())) == sorted(r[:-1] for r in map(tuple, want)) and len(want) > 100
+    points = text_scores.scored_pairs(t, i, text_scores.points, fx.strip_channel).select(*cols, F.col("name_score") / 100)
+    assert sorted(map(tuple, points.collect())) == sorted(r[:3] + r[-1:] for r in map(tuple, want)) and any(r[-1] > 0 for r in want)
