@@ -186,3 +186,11 @@ def test_reference_pairs_equal_those_of_all_pairs(spark):
     assert sorted(map(tuple, made.collect())) == sorted(map(tuple, want)) and {r.s_ref for r in want} == {20.0, 35.0, 40.0}
     every = [part.split("Inner")[0] for part in plan(made).split("Physical Plan")[1].split("SortMergeJoin")[1:] if "_bucket" in part.split("Inner")[0]]
     assert every and all("_key" in part or "_gl" in part for part in every)
+
+
+def test_derived_tables_are_written_when_asked_for(spark, tmp_path):
+    for name in ("customer", "part", "orders"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{SMALL}/{name}.parquet")
+    got = dt.inputs(spark, str(tmp_path))
+    assert got["transactions"].count() > 0 and set(got) == {"invoices", "transactions"}
+    assert got["labels"].count() == got["invoices"].count() and dt.inputs(spark, str(tmp_path)) is got
