@@ -23,7 +23,7 @@ Defined cases: null, empty and blank texts have fingerprint zero, which links li
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -66,8 +66,13 @@ def shingle_hashes(text: bytes, width: int, segment: int = SEGMENT) -> Iterator[
 
 def fingerprint(text: bytes, width: int = 4) -> int:
     """The signed 64-bit fingerprint of one text."""
+    return majority_bits(shingle_hashes(text, width))
+
+
+def majority_bits(runs: Iterable[np.ndarray]) -> int:
+    """The signed 64-bit fingerprint of the hashes in ``runs``."""
     ones, n = np.zeros(64, np.int64), 0
-    for h in shingle_hashes(text, width):
+    for h in runs:
         for part in np.array_split(h, len(h) // 65_536 + 1):
             ones += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         n += len(h)
@@ -146,8 +151,8 @@ def hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = nxt
 
 
-def tile_stars(tile: np.ndarray, in_tree: np.ndarray, asks: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of whole tiles as stars: (fingerprint, head of its class)."""
+def tile_links(tile: np.ndarray, in_tree: np.ndarray, asks: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Yields the links of whole tiles as (query row, tree row) arrays."""
     tree_at, query_at = np.flatnonzero(in_tree), np.flatnonzero(asks)
     parent, edge = build_trees(tile[tree_at], fp[tree_at])
     roots = np.flatnonzero(parent < 0)
@@ -155,13 +160,35 @@ def tile_stars(tile: np.ndarray, in_tree: np.ndarray, asks: np.ndarray, fp: np.n
     at = np.searchsorted(tiles, tile[query_at])
     has = (at < len(tiles)) & (tiles[np.minimum(at, len(tiles) - 1)] == tile[query_at]) if len(tiles) else np.zeros(len(query_at), bool)
     q = np.flatnonzero(has)
-    label = np.arange(len(fp))
     for a, b in search_trees(fp[tree_at], parent, edge, q, roots[at[q]], fp[query_at], radius):
-        label = hook(label, query_at[a], tree_at[b])
+        yield query_at[a], tree_at[b]
+
+
+def tile_stars(tile: np.ndarray, in_tree: np.ndarray, asks: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of whole tiles as stars: (fingerprint, head of its class)."""
+    label = np.arange(len(fp))
+    for a, b in tile_links(tile, in_tree, asks, fp, radius):
+        label = hook(label, a, b)
     linked = np.flatnonzero(label != np.arange(len(fp)))
     return fp[linked].view(np.int64), fp[label[linked]].view(np.int64)
 
 
+def tile_forest(tile: np.ndarray, in_tree: np.ndarray, asks: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of whole tiles that joined two classes: each lies within the radius itself, and at most two a row are kept."""
+    label, kept = np.arange(len(fp)), []
+    for a, b in tile_links(tile, in_tree, asks, fp, radius):
+        while True:
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            if not len(a):
+                break
+            first = np.unique(label[a], return_index=True)[1]  # one link of each class
+            kept.append((a[first], b[first]))
+            label = hook(label, a[first], b[first])
+    a, b = (np.concatenate(x) for x in zip(*kept)) if kept else (np.zeros(0, np.int64),) * 2
+    return fp[a].view(np.int64), fp[b].view(np.int64)
+
+
 def shard_masks(blocks: int, radius: int) -> list[int]:
     """Masks of all choices of ``blocks - radius`` blocks of the 64 bits."""
     bounds = [64 * i // blocks for i in range(blocks + 1)]
@@ -170,8 +197,11 @@ def shard_masks(blocks: int, radius: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def links(ws: Workspace, forms: DataFrame, radius: int = 4, blocks: int = 6, tree_max: int = 4096) -> DataFrame:
-    """Star links u, v among distinct fingerprints ``fp``; their components are those of all links."""
+def links(ws: Workspace, forms: DataFrame, radius: int = 4, blocks: int = 6, tree_max: int = 4096, found_in=tile_stars) -> DataFrame:
+    """Star links u, v among distinct fingerprints ``fp``; their components are those of all links.
+
+    With ``tile_forest`` for ``found_in`` u and v themselves are within the radius.
+    """
     masks = shard_masks(blocks, radius)
     keyed = forms.select(
         "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)])).alias("s")
@@ -199,7 +229,7 @@ def links(ws: Workspace, forms: DataFrame, radius: int = 4, blocks: int = 6, tre
             yield stars(rest)
 
     def stars(rows):
-        u, v = tile_stars(rows[0], rows[1].astype(bool), rows[2].astype(bool), rows[3].view(np.uint64), radius)
+        u, v = found_in(rows[0], rows[1].astype(bool), rows[2].astype(bool), rows[3].view(np.uint64), radius)
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     found = tiles.repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(run, "u long, v long")
