@@ -173,20 +173,11 @@ def tile_stars(tile: np.ndarray, in_tree: np.ndarray, asks: np.ndarray, fp: np.n
     return fp[linked].view(np.int64), fp[label[linked]].view(np.int64)
 
 
-def tile_forest(tile: np.ndarray, in_tree: np.ndarray, asks: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of whole tiles that joined two classes: each lies within the radius itself, and at most two a row are kept."""
-    label, kept = np.arange(len(fp)), []
+def tile_apart(tile: np.ndarray, in_tree: np.ndarray, asks: np.ndarray, fp: np.ndarray, low: np.ndarray, high: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Yields all links of whole tiles but those whose two fingerprints have one and the same class (``low`` = ``high``)."""
     for a, b in tile_links(tile, in_tree, asks, fp, radius):
-        while True:
-            apart = label[a] != label[b]
-            a, b = a[apart], b[apart]
-            if not len(a):
-                break
-            first = np.unique(label[a], return_index=True)[1]  # one link of each class
-            kept.append((a[first], b[first]))
-            label = hook(label, a[first], b[first])
-    a, b = (np.concatenate(x) for x in zip(*kept)) if kept else (np.zeros(0, np.int64),) * 2
-    return fp[a].view(np.int64), fp[b].view(np.int64)
+        keep = ((low[a] != high[b]) | (high[a] != low[b])) & (fp[a] != fp[b])
+        yield fp[a[keep]].view(np.int64), fp[b[keep]].view(np.int64)
 
 
 def shard_masks(blocks: int, radius: int) -> list[int]:
@@ -197,43 +188,48 @@ def shard_masks(blocks: int, radius: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def links(ws: Workspace, forms: DataFrame, radius: int = 4, blocks: int = 6, tree_max: int = 4096, found_in=tile_stars) -> DataFrame:
+def links(ws: Workspace, forms: DataFrame, radius: int = 4, blocks: int = 6, tree_max: int = 4096, apart: bool = False) -> DataFrame:
     """Star links u, v among distinct fingerprints ``fp``; their components are those of all links.
 
-    With ``tile_forest`` for ``found_in`` u and v themselves are within the radius.
+    With ``apart`` the links themselves, all of them but those inside a class: ``forms`` then has ``low`` and ``high``, the
+    first and last class of the forms of a fingerprint.
     """
     masks = shard_masks(blocks, radius)
+    own = ["fp", "low", "high"] if apart else ["fp"]
     keyed = forms.select(
-        "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)])).alias("s")
-    ).select("fp", F.xxhash64("s.choice", "s.bits").alias("shard"))
+        *own, F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)])).alias("s")
+    ).select(*own, F.xxhash64("s.choice", "s.bits").alias("shard"))
     sizes = keyed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     parts = (
-        keyed.join(sizes, "shard")
+        # Spark sizes a table after an explode as before it and would send the choices of all fingerprints through the driver.
+        keyed.join(sizes.hint("merge"), "shard")
         .withColumn("parts", F.ceil(F.col("n") / tree_max))
         .withColumn("part", F.pmod(F.xxhash64("fp"), "parts"))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     )
     low, high = F.least("part", "other"), F.greatest("part", "other")
-    tiles = parts.select(F.xxhash64("shard", low, high).alias("tile"), (F.col("part") == low).alias("in_tree"), (F.col("part") == high).alias("asks"), "fp")
+    tiles = parts.select(F.xxhash64("shard", low, high).alias("tile"), (F.col("part") == low).alias("in_tree"), (F.col("part") == high).alias("asks"), *own)
     n = int(forms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         rest = None
         for b in batches:
-            rows = [np.concatenate([x, b.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate(rest)] if rest else [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            rows = [np.concatenate([x, b.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate(rest)] if rest else [b.column(i).to_numpy(zero_copy_only=False) for i in range(3 + len(own))]
             cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0  # the last tile may go on in the next batch
             rest = [x[cut:] for x in rows]
             if cut:
-                yield stars([x[:cut] for x in rows])
+                yield from found([x[:cut] for x in rows])
         if rest and len(rest[0]):
-            yield stars(rest)
+            yield from found(rest)
 
-    def stars(rows):
-        u, v = found_in(rows[0], rows[1].astype(bool), rows[2].astype(bool), rows[3].view(np.uint64), radius)
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+    def found(rows):
+        rows = [rows[0], rows[1].astype(bool), rows[2].astype(bool), rows[3].view(np.uint64), *rows[4:]]
+        for u, v in tile_apart(*rows, radius) if apart else [tile_stars(*rows, radius)]:
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    found = tiles.repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(run, "u long, v long")
-    return ws.save(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    pairs = tiles.repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(run, "u long, v long")
+    return ws.save(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
 
 
 # ---------------------------------------------------------------- components of all links

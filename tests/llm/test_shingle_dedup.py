@@ -170,3 +170,37 @@ def test_recall_of_planted_pairs_at_the_bound(spark):
 
 def test_empty_table(spark):
     assert sh.survivors(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def planted_forms(spark, words, prints):
+    """Forms without buckets, with the given fingerprints, and their sets."""
+    sets = {sh.form_of(s): s for s in (sh.shingle_set(" ".join(w).encode()) for w in words)}
+    forms = spark.createDataFrame([(f, p, []) for f, p in zip(sets, prints)], "form long, fp long, buckets array<long>")
+    members = spark.createDataFrame([(f, s.tobytes()) for f, s in sets.items()], "form long, members binary")
+    return list(sets), forms, lambda wanted: members.join(wanted, "form", "left_semi")
+
+
+def test_every_pair_within_the_radius_is_compared(spark):
+    """Near copies are linked though each lies within the radius of a third text, too, which is no copy of either."""
+    base = [f"w{i}" for i in range(200)]
+    copies = [base, [*base[:-1], "x"], [*base[:-2], "y", "z"]]
+    others = [[f"{c}{i}" for i in range(200)] for c in "abcdef"]
+    for prints in ([7] * 9, [1 << k for k in range(9)]):
+        forms, table, sets_of = planted_forms(spark, others[:3] + copies + others[3:], prints)
+        heads = {r.u: r.v for r in sh.component_heads(sh.Workspace(spark), sh.links(sh.Workspace(spark), table, sets_of)).collect()}
+        assert {x for x in forms if x in heads or x in heads.values()} == set(forms[3:6]), prints
+
+
+def test_exploded_tables_are_not_broadcast(spark, monkeypatch):
+    """Spark reckons a table after an explode as large as before; such a one must not go through the driver."""
+    plans = {}
+    real = sh.Workspace.save
+
+    def save(self, df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return real(self, df, name)
+
+    monkeypatch.setattr(sh.Workspace, "save", save)
+    rows = [(i, " ".join(t)) for i, t in enumerate(family(20, 7, edits=6))]
+    sh.survivors(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert "strategy=merge" in plans["members"] and "strategy=merge" in plans["links"], plans["links"]
