@@ -66,14 +66,16 @@ def _digits(row: Column, attempt: Column, digits: Column) -> Column:
 def with_unique_ids(parsed: DataFrame, id_col: str) -> DataFrame:
     """Made ids that meet a given id or the made id of an earlier row are derived again, until all differ.
 
-    Only the rows that meet are touched in a round, about n * n / 16^digits / 2 of n; the rounds are bounded, running out of them
-    raises.  Given ids are never changed.
+    Only the rows that meet are touched in a round, about n * n / 16^digits / 2 of n.  An id that is derived again gets more digits
+    where those it has are too few for the rows, so that each round leaves a small share of the one before; rows that are equal
+    come apart at once.  The rounds are bounded, running out of them raises.  Given ids are never changed.
     """
     if parsed.where("made").isEmpty():
         return parsed
     ws = Workspace(parsed.sparkSession)
     rows = ws.save(parsed.withColumn("_attempt", F.lit(0)), "made-ids")
-    digits = F.length(id_col) - F.instr(id_col, "-")
+    enough = len(f"{rows.count():x}") + 1  # 16 to 256 places a row
+    digits = F.greatest(F.length(id_col) - F.instr(id_col, "-"), F.lit(enough))
     for _ in range(ID_ROUNDS):
         met = rows.groupBy("batch_id", id_col).agg(F.count("*").alias("n"), F.count_if("made").alias("n_made")).where("n > 1 and n_made > 0")
         met = ws.save(met.select("batch_id", id_col), "met-ids")
@@ -82,8 +84,9 @@ def with_unique_ids(parsed: DataFrame, id_col: str) -> DataFrame:
         order = Window.partitionBy("batch_id", id_col).orderBy("made", "row_idx")
         again = rows.join(met, ["batch_id", id_col], "left_semi").withColumn("_n", F.row_number().over(order))
         moved = F.col("made") & (F.col("_n") > 1)
-        fresh = F.concat(F.substring_index(id_col, "-", 1), F.lit("-"), _digits(F.col("row"), F.col("_attempt") + 1, digits))
-        again = again.withColumns({id_col: F.when(moved, fresh).otherwise(F.col(id_col)), "_attempt": F.col("_attempt") + moved.cast("int")}).drop("_n")
+        attempt = F.col("_attempt") + F.col("_n") - 1
+        fresh = F.concat(F.substring_index(id_col, "-", 1), F.lit("-"), _digits(F.col("row"), attempt, digits))
+        again = again.withColumns({id_col: F.when(moved, fresh).otherwise(F.col(id_col)), "_attempt": F.when(moved, attempt).otherwise(F.col("_attempt"))}).drop("_n")
         rows = ws.save(rows.join(met, ["batch_id", id_col], "left_anti").unionByName(again.select(rows.columns)), "made-ids")
     raise RuntimeError("made ids did not come apart; use more digits")
 

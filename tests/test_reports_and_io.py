@@ -285,3 +285,11 @@ def test_one_id_under_two_merchants_stays_two_transactions(spark):
     rows = run.matches.collect()
     assert len(rows) == 2 == len({r.match_id for r in rows})
     assert sorted(r.score for r in live.preliminary(txns_df(spark, t), invs_df(spark, i)).collect()) == [55.0, 100.0]
+
+
+def test_more_rows_than_ids_of_few_digits(spark):
+    """Three digits name 4,096 rows; the others get longer ids, and rows that are equal come apart, too."""
+    n = 5_000
+    raw = spark.range(n).select(F.lit(None).cast("string").alias("txn_id"), F.lit("2026-01-05").alias("txn_date"), F.lit("10").alias("amount"), F.greatest("id", F.lit(60)).alias("row_idx"))
+    parsed = csvs.parse_transactions(csvs.with_columns_present(raw.withColumn("narration", F.lit("x")), csvs.TXN_COLUMNS), "M", "B", id_digits=3)
+    assert csvs.good_rows(parsed, "txn_id").agg(F.countDistinct("txn_id"), F.count("*")).first() == (n, n)
