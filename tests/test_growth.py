@@ -212,3 +212,26 @@ def test_window_totals_at_the_ends_of_the_window(spark):
     got = {r.txn_id: (r.n, r.nearest, r.gap_days) for r in cand.window_totals(t, i).collect()}
     gaps = {x: [abs(d - s) for d in days if -near <= d - s <= far] for x, s in (("T1", 0), ("T2", 1))}
     assert got == {x: (len(g), min(g), sum(g)) for x, g in gaps.items()}
+
+
+def test_rare_references_bound_the_keys(spark, monkeypatch):
+    """A payment whose reference finds its invoice looks up few keys; one that many invoices share is still found by its keys."""
+    from ledgerlink.operators import rule_search
+
+    i = [inv(f"INV-{k}", f"2026-08-{1 + k % 20:02d}", f"Sharma{k % 3} Trading{k % 2} House", 1000 + k % 4, ref=f"UTR{k:06d}" if k % 5 else "SHARED01") for k in range(40)]
+    t = [txn(f"T{k}", f"2026-08-{3 + k % 20:02d}", 1000 + k % 4, f"NEFT SHARMA{k % 3} TRADING{k % 2} HOUSE", ref=f"UTR{k:06d}" if k % 5 else "SHARED01") for k in range(40)]
+    t, i = cand.txn_view(txns_df(spark, t)), cand.invoice_view(invs_df(spark, i))
+    assert i.where("i_ref = 'SHARED01'").count() > rule_search.RARE
+    asks, real = {}, rule_search.Workspace.save
+
+    def save(self, df, name):
+        out = real(self, df, name)
+        asks.update({r.txn_id: r["count"] for r in out.groupBy("txn_id").count().collect()} if name == "asks" else {})
+        return out
+
+    monkeypatch.setattr(rule_search.Workspace, "save", save)
+    cols = ["txn_id", "invoice_id", "p1", "resolved", "gap", "s_ref"]
+    got = rule_search.best_by_rules(t, i).select(*cols).collect()
+    want = scoring.top_by_rules(scoring.rule_points(cand.candidate_pairs(t, i))).select(*cols).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(want) == 40
+    assert 0 < asks["T1"] < asks["T0"] / 2, asks
